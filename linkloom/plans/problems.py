@@ -68,7 +68,8 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    totals = p7_totals(spark, d).select(*KEYS, "n_usable")
+    # One row a key, read twice.
+    totals = p7_totals(spark, d).select(*KEYS, "n_usable").persist()
     libs = totals.groupBy("libname").agg(F.sum("n_usable").alias("_all"))
     return totals.join(libs, "libname").filter("n_usable > 0 and n_usable * 40 >= _all").select(*KEYS)
 
