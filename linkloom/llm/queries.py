@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import components, cooccur, packing, percentile, topn
+from ..session import spread, table
+from . import components, cooccur, leaks, packing, percentile, subjects, topn
 
 
 def current_pairs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -106,10 +106,35 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_containers(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack_containers(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_by_day, p3_found, p5_found, p5_rows, p8_packing)}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items with a shared region, edits allowed."""
+    return leaks.find_leaks(spread(table(spark, d, "documents")), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).filter("passage").select("doc_id", "item_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of documents with the share of their sentences."""
+    return subjects.subjects_of(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "subject_examples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shares(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, sentences and characters of the corpus by subject; null stands for documents without one."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    met = docs.join(p10_shares(spark, d), "doc_id", "left")
+    return met.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weighted"), F.sum("n").alias("characters"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_by_day, p3_found, p5_found, p5_rows, p8_packing, p9_found, p9_leaks, p10_found, p10_shares, p10_composition)}
 
 _CUR = "with c as (select * from (select *, row_number() over (partition by pair_id order by loaded_at desc) as rn from pairs) where rn = 1)"
 _P1 = (
@@ -121,7 +146,14 @@ r as (select p.*, l.n as n_lo, h.n as n_hi, n_baskets from p join n l on l.libna
 """
 )
 _USABLE = "with u as (select clm_id, any_value(libname) as libname, any_value(at_ctg) as at_ctg, any_value(list_filter(links, lambda x: x > 0)) as u from clm where at_ctg is not null group by clm_id), v as (select libname, at_ctg, unnest(u) as v from u)"
+_GRAMS = """
+with d as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: lower(w)) as w from documents where text is not null),
+i as (select item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: lower(w)) as w from eval_items where text is not null),
+dg as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from d where len(w) >= 13),
+ig as (select item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from i where len(w) >= 13)
+"""
 ORACLE = {
+    "p9_found": _GRAMS + "select distinct doc_id, item_id from dg join ig using (g)",
     "p1_found": _P1 + "select libname, contig_lo, contig_hi from r",
     "p1_pairs": _P1
     + "select libname, contig_lo, contig_hi, n_lo, n_hi, n_both, n_baskets, round(cast(n_both as double) * n_baskets / (cast(n_lo as double) * n_hi), 6) as lift, round(((cast(n_both as double) + cast(0.5 as double)) * (n_baskets - n_lo - n_hi + n_both + cast(0.5 as double))) / ((n_lo - n_both + cast(0.5 as double)) * (n_hi - n_both + cast(0.5 as double))), 4) as odds_ratio from r",
