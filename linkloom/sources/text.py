@@ -158,7 +158,7 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("w")[0].alias("a"), F.col("w")[1].alias("b"), F.coalesce(F.get("w", F.lit(2)).try_cast("long"), F.lit(1)).cast("long").alias("weight"))
 
 
-SAM_SCHEMA = T.StructType.fromDDL("ref STRING, pos LONG, mapq INT, flag INT, mate_ref STRING, mate_pos LONG")
+SAM_SCHEMA = "ref STRING, pos LONG, mapq INT, flag INT, mate_ref STRING, mate_pos LONG"
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
