@@ -45,13 +45,15 @@ def sum_log(links: Column) -> Column:
 def link_bin(d: Column) -> Column:
     """Sixteenths of an octave above 2^11: -1 below it. The octave comes from the bit length, so edges are exact."""
     octave = F.length(F.bin(int_div(d, F.lit(C.MIN_LINK_DIST)))) - 1
-    x = d.cast("double") / F.pow(double(2), octave + 11)
-    part = F.lit(0)
-    for bit in (8, 4, 2, 1):
-        square = x * x
+    # Squaring brings out one bit of the part at a time; folded, so that no step repeats the one before.
+    first = F.struct((d.cast("double") / F.pow(double(2), octave + 11)).alias("x"), F.lit(0).alias("part"))
+
+    def step(at: Column, bit: Column) -> Column:
+        square = at["x"] * at["x"]
         up = square > 2
-        part = part + F.when(up, bit).otherwise(0)
-        x = F.when(up, square / 2).otherwise(square)
+        return F.struct(F.when(up, square / 2).otherwise(square).alias("x"), (at["part"] + F.when(up, bit).otherwise(0)).alias("part"))
+
+    part = F.aggregate(F.array(*[F.lit(b) for b in (8, 4, 2, 1)]), first, step, lambda at: at["part"])
     return F.when(d < C.MIN_LINK_DIST, -1).otherwise(16 * octave + part).cast("int")
 
 

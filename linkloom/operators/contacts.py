@@ -56,7 +56,7 @@ def link_summary(links: DataFrame) -> DataFrame:
     """n_intra, n_contigs, n_inter, n_pairs, max_inter in one row."""
     intra, inter = F.col("ai") == F.col("bi"), F.col("ai") != F.col("bi")
     per = links.groupBy("ai", "bi").agg(F.count_if(intra & (F.abs(F.col("apos") - F.col("bpos")) >= C.MIN_LINK_DIST)).alias("_i"), F.count_if(inter).alias("_x"))
-    return per.agg(F.coalesce(F.sum("_i"), F.lit(0)).alias("n_intra"), F.count_if("_i > 0").alias("n_contigs"), F.coalesce(F.sum("_x"), F.lit(0)).alias("n_inter"), F.count_if("_x > 0").alias("n_pairs"), F.coalesce(F.max("_x"), F.lit(0)).alias("max_inter"))
+    return per.agg(F.coalesce(F.sum("_i"), F.lit(0)).alias("n_intra"), F.count_if(F.col("_i") > 0).alias("n_contigs"), F.coalesce(F.sum("_x"), F.lit(0)).alias("n_inter"), F.count_if(F.col("_x") > 0).alias("n_pairs"), F.coalesce(F.max("_x"), F.lit(0)).alias("max_inter"))
 
 
 def best_orientation(clm: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:

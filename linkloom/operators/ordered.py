@@ -40,14 +40,10 @@ def value_blocks(df: DataFrame, value: str, parts: int = PARTS) -> DataFrame:
 
 
 def _search(edges: Column, x: Column, n: int) -> Column:
-    """Binary search: the number of edges <= x."""
-    lo = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        nxt = lo + step
-        lo = F.when((nxt <= n) & (F.get(edges, F.least(nxt, F.lit(n)) - 1) <= x), nxt).otherwise(lo)
-        step >>= 1
-    return lo
+    """Binary search: the number of edges <= x. The steps are folded over, as nested CASEs would double with each step."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    met = lambda lo, step: (lo + step <= n) & (F.get(edges, F.least(lo + step, F.lit(n)) - 1) <= x)
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(met(lo, step), lo + step).otherwise(lo))
 
 
 def rank_value(df: DataFrame, value: str, ranks: list[int], n: int) -> dict[int, float]:
