@@ -19,13 +19,13 @@ def prefix_sum(df: DataFrame, group: list[str], pos: str, value: Column, name: s
     """Sum of `value` over the rows of the group before each row, by whole-number positions.
 
     Positions should be dense, as a block holds `block` of them. Null values count 0. Rows of equal
-    position get any order, so positions should be unique in a group.
+    position get any order, so positions should be unique in a group. Own columns begin with __sum.
     """
-    rows = df.withColumn("_v", F.coalesce(value, F.lit(0))).withColumn("_blk", F.floor(F.col(pos) / block))
-    totals = rows.groupBy(*group, "_blk").agg(F.sum("_v").alias("_t"))
-    before = totals.withColumn("_off", F.coalesce(F.sum("_t").over(W.partitionBy(*group).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    inside = F.coalesce(F.sum("_v").over(W.partitionBy(*group, "_blk").orderBy(pos).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_in", inside).join(before, [*group, "_blk"]).withColumn(name, F.col("_off") + F.col("_in")).drop("_v", "_blk", "_off", "_in")
+    rows = df.withColumn("__sum_v", F.coalesce(value, F.lit(0))).withColumn("__sum_blk", F.floor(F.col(pos) / block))
+    totals = rows.groupBy(*group, "__sum_blk").agg(F.sum("__sum_v").alias("__sum_t"))
+    before = totals.withColumn("__sum_off", F.coalesce(F.sum("__sum_t").over(W.partitionBy(*group).orderBy("__sum_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum_t")
+    inside = F.coalesce(F.sum("__sum_v").over(W.partitionBy(*group, "__sum_blk").orderBy(pos).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__sum_in", inside).join(before, [*group, "__sum_blk"]).withColumn(name, F.col("__sum_off") + F.col("__sum_in")).drop("__sum_v", "__sum_blk", "__sum_off", "__sum_in")
 
 
 def value_blocks(df: DataFrame, value: str, parts: int = PARTS) -> DataFrame:

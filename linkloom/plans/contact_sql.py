@@ -23,7 +23,7 @@ union all select ai, bi, a, b, '-', '+', apos + bpos from lk where ai <> bi unio
 _TOUR = """, tr as (select right(contig, 1) as grp, row_number() over (partition by right(contig, 1) order by idx) - 1 as pos, contig, length as size from ln),
 pl as (select *, case when pos % 3 = 2 then -1 else 1 end as sign, cast(coalesce(sum(size) over (partition by grp order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as cum from tr)"""
 _SEQ = "sq as (select doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') as seq from documents where text is not null)"
-_BIN = f"bn(bin, s, e) as (values {_MID})"
+_BIN = f"bn as (select bin, cast(s as bigint) as s, cast(e as bigint) as e from (values {_MID}) v(bin, s, e))"
 _OCT = "cast(floor(16 * log2(cast(d as double) / 2048)) as integer)"
 _DENS = (
     _CLM
