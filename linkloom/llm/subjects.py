@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
@@ -74,13 +75,13 @@ class Lexicon:
     weight: np.ndarray  # terms x subjects: how far a term belongs to each; a row sums to at most 1
 
 
-def _flat(lex: Lexicon, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(number: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term, sentence of each term, and document of each sentence."""
     term, place, doc_of = [], [], []
     for d, t in enumerate(texts):
         for s in sentences(t):
             for w in _WORD.findall(s.lower()):
-                k = lex.number.get(w)
+                k = number.get(w)
                 if k is not None:
                     term.append(k)
                     place.append(len(doc_of))
@@ -88,6 +89,39 @@ def _flat(lex: Lexicon, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     return np.array(term, np.int64), np.array(place, np.int64), np.array(doc_of, np.int64)
 
 
+#: A document in numbers: its terms, the sentence of each, and how many sentences it has.
+NUMBERED = "term array<int>, place array<int>, n_sentences int"
+
+
+def _numbered(number):
+    """Texts are cut into sentences and terms once; all passes read the numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.value
+        for batch in batches:
+            term, place, doc_of = _flat(known, batch.column(1).to_pylist())
+            docs = batch.num_rows
+            n = np.bincount(doc_of, minlength=docs)
+            before = np.r_[0, np.cumsum(n)]
+            ends = pa.array(np.searchsorted(place, before), pa.int32())
+            inside = place - before[doc_of[place]] if len(place) else place
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(inside, pa.int32())), pa.array(n, pa.int32())],
+                ["_k", "term", "place", "n_sentences"],
+            )
+
+    return run
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _flat gives, from rows of numbers."""
+    at = batch.schema.get_field_index
+    terms_of, places = batch.column(at("term")), batch.column(at("place"))
+    n = batch.column(at("n_sentences")).to_numpy().astype(np.int64)
+    start = np.repeat(np.cumsum(n) - n, pc.list_value_length(terms_of).to_numpy(zero_copy_only=False).astype(np.int64))
+    return terms_of.flatten().to_numpy().astype(np.int64), places.flatten().to_numpy().astype(np.int64) + start, np.repeat(np.arange(batch.num_rows), n)
+
+
 def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, values[:, s], minlength=n) for s in range(values.shape[1])], 1) if len(at) else np.zeros((n, values.shape[1]))
 
@@ -145,21 +179,24 @@ def inspect_topics(topics: np.ndarray, seen: np.ndarray, top: int = TOP_TERMS) -
     return sharp
 
 
-def fit(df: DataFrame, text: str, examples: DataFrame, topics: int = TOPICS, models: int = MODELS, passes: int = PASSES) -> Lexicon:
-    """Terms of the corpus and how far each belongs to the subjects of the examples."""
+def fit(rows: DataFrame, examples: DataFrame, topics: int = TOPICS, models: int = MODELS, passes: int = PASSES) -> tuple[Lexicon, DataFrame]:
+    """Terms of the corpus (columns _k, _t) and how far each belongs to the subjects of the examples; and the documents in numbers."""
     subjects, labelled, common = _examples(examples)
-    tokens = df.select(terms(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    n = df.count()
+    tokens = rows.select(terms(F.coalesce(F.col("_t"), F.lit(""))).alias("w"))
+    n = rows.count()
     vocab = vocabulary(tokens, n, common) if subjects else []
-    if not vocab:
-        return Lexicon(subjects, {}, np.zeros((0, len(subjects))))
     number = {w: i for i, w in enumerate(vocab)}
+    spark = rows.sparkSession
+    schema = T.StructType([rows.schema["_k"], *T.StructType.fromDDL(NUMBERED).fields])
+    numbered = rows.mapInArrow(_numbered(spark.sparkContext.broadcast(number)), schema).persist()
+    if not vocab:
+        return Lexicon(subjects, {}, np.zeros((0, len(subjects)))), numbered
     seen = np.zeros((len(vocab), len(subjects)))
     for s, ws in labelled:
         for w in ws:
             if w in number:
                 seen[number[w], subjects.index(s)] += 1
-    counted = CountVectorizerModel.from_vocabulary(vocab, "w", "features").transform(tokens).select("features").persist()
+    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(vocab))], "w", "features").transform(numbered.select(F.col("term").cast("array<string>").alias("w"))).select("features").persist()
     weight = np.zeros_like(seen)
     for m in range(models):
         lda = LDA(k=topics, maxIter=STEPS, optimizer="online", subsamplingRate=min(1.0, max(STEP_SHARE, STEP_DOCS / n)), seed=m + 1, docConcentration=[0.05] * topics, topicConcentration=0.02)
@@ -172,10 +209,10 @@ def fit(df: DataFrame, text: str, examples: DataFrame, topics: int = TOPICS, mod
     lex = Lexicon(subjects, number, np.where(seen.any(1, keepdims=True), (weight + share) / 2, weight))
     for turn in range(passes):
         # First by the other sentences of the document, which tells phrases that stand anywhere from terms; then by the sentence.
-        rows = df.select(F.col(text).alias("t")).mapInArrow(_counts(df.sparkSession.sparkContext.broadcast(lex), turn < (passes + 1) // 2), "term int, subject int, c double")
+        sums = numbered.drop("_k").mapInArrow(_counts(spark.sparkContext.broadcast(lex), turn < (passes + 1) // 2), "term int, subject int, c double")
         total = np.zeros((len(vocab), len(subjects) + 1))
         # At most terms x subjects rows.
-        for r in rows.groupBy("term", "subject").agg(F.sum("c").alias("c")).collect():
+        for r in sums.groupBy("term", "subject").agg(F.sum("c").alias("c")).collect():
             total[r["term"], r["subject"]] = r["c"]
         # Sentences without a subject count as a subject of their own; the examples as a few more sentences.
         full = total[:, :-1] + 2 * share
@@ -183,7 +220,7 @@ def fit(df: DataFrame, text: str, examples: DataFrame, topics: int = TOPICS, mod
         rate = full / np.maximum(full.sum(0, keepdims=True), 1e-9) * full.sum() / len(subjects)
         none = total[:, -1:] * 1.0
         lex = Lexicon(subjects, number, rate / np.maximum(rate.sum(1, keepdims=True) + none, 1e-9))
-    return lex
+    return lex, numbered
 
 
 def _counts(lexicon, by_others: bool):
@@ -192,13 +229,13 @@ def _counts(lexicon, by_others: bool):
         k = len(lex.subjects)
         total = np.zeros((len(lex.number), k + 1))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            term, place, doc_of = _flat(lex, texts)
+            docs = batch.num_rows
+            term, place, doc_of = _unpacked(batch)
             if not len(term):
                 continue
-            p, about = _posterior(lex, term, place, doc_of, len(texts))
+            p, about = _posterior(lex, term, place, doc_of, docs)
             if by_others:
-                rest = _sums(p, doc_of, len(texts))[doc_of] - p
+                rest = _sums(p, doc_of, docs)[doc_of] - p
                 whole = rest.sum(1, keepdims=True)
                 full = np.c_[np.where(whole > 0.5, rest / np.maximum(whole, 1e-9), 0), np.where(whole[:, 0] > 0.5, 0.0, 0.5)]
             else:
@@ -215,15 +252,15 @@ def _assign(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            term, place, doc_of = _flat(lex, texts)
-            p, about = _posterior(lex, term, place, doc_of, len(texts))
+            docs = batch.num_rows
+            term, place, doc_of = _unpacked(batch)
+            p, about = _posterior(lex, term, place, doc_of, docs)
             one = np.zeros_like(p)
             if len(p):
                 best = p.argmax(1)
                 one[np.arange(len(p)), best] = about & (p.max(1) >= 0.5)
-            n = np.bincount(doc_of, minlength=len(texts)) if len(doc_of) else np.zeros(len(texts), np.int64)
-            share = _sums(one, doc_of, len(texts)) / np.maximum(n, 1)[:, None]
+            n = np.bincount(doc_of, minlength=docs) if len(doc_of) else np.zeros(docs, np.int64)
+            share = _sums(one, doc_of, docs) / np.maximum(n, 1)[:, None]
             # The subjects with the largest shares; of equal ones the first by name.
             order = np.argsort(-share, 1, kind="stable")[:, :MOST_SUBJECTS]
             d, j = np.nonzero(np.take_along_axis(share, order, 1) >= QUARTER)
@@ -243,10 +280,9 @@ def subjects_of(df: DataFrame, key: str, text: str, examples: DataFrame, **how:
     give theirs. Without examples, or for an empty table, there are no rows. Other columns are
     ignored.
     """
-    lex = fit(df, text, examples, **how)
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    schema = T.StructType([rows.schema["_k"], *T.StructType.fromDDL("subject string, share double, n_sentences long").fields])
-    done = rows.mapInArrow(_assign(df.sparkSession.sparkContext.broadcast(lex)), schema)
+    lex, numbered = fit(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")), examples, **how)
+    schema = T.StructType([numbered.schema["_k"], *T.StructType.fromDDL("subject string, share double, n_sentences long").fields])
+    done = numbered.mapInArrow(_assign(df.sparkSession.sparkContext.broadcast(lex)), schema)
     return done.select(F.col("_k").alias(key), "subject", "share", "n_sentences")
 
 
@@ -255,8 +291,9 @@ def held_out_accuracy(df: DataFrame, text: str, examples: pd.DataFrame, spark, *
     right, examples = 0, examples.sample(frac=1, random_state=1)
     for half in (0, 1):
         known, asked = examples.iloc[half::2], examples.iloc[1 - half :: 2]
-        lex = fit(df, text, spark.createDataFrame(known), **how)
-        term, place, doc_of = _flat(lex, list(asked["text"]))
+        lex, numbered = fit(df.select(F.lit(0).alias("_k"), F.col(text).alias("_t")), spark.createDataFrame(known), **how)
+        numbered.unpersist()
+        term, place, doc_of = _flat(lex.number, list(asked["text"]))
         p, _ = _posterior(lex, term, place, doc_of, len(asked))
         best = _sums(p, doc_of, len(asked)).argmax(1)
         right += sum(lex.subjects[b] == s for b, s in zip(best, asked["subject"], strict=True))
