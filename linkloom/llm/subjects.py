@@ -252,6 +252,8 @@ def _assign(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
+            if not lex.number:
+                continue
             docs = batch.num_rows
             term, place, doc_of = _unpacked(batch)
             p, about = _posterior(lex, term, place, doc_of, docs)

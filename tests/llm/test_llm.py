@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, cooccur, leaks, packing, percentile, topn
+from linkloom.llm import components, cooccur, leaks, packing, percentile, subjects, topn
 
 
 def test_pairs_of_baskets(spark):
@@ -112,3 +112,36 @@ def test_leaked_passages(spark):
     want = {(d, i) for d, t in docs for i, s in items if grams(t) & grams(s)}
     got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
     assert {tuple(r) for r in got.filter("passage").select("doc_id", "item_id").collect()} == want and want
+
+
+#: Enough terms that none stands in more documents than a term may.
+GARDEN = ["soil", "mulch", *(f"g{a}{b}{c}" for a in "aeiou" for b in "lmn" for c in "aeiu")]
+COURT = ["verdict", "appeal", *(f"c{a}{b}{c}" for a in "aeiou" for b in "rst" for c in "aeiu")]
+
+
+def _prose(rng, terms, n):
+    return " ".join(f"The {rng.choice(terms)} and {rng.choice(terms)} near {rng.choice(terms)}." for _ in range(n))
+
+
+def test_subjects_of_documents(spark):
+    rng = random.Random(6)
+    docs = [(i, _prose(rng, GARDEN if i % 2 else COURT, 6), "extra") for i in range(120)]
+    docs += [(200, None, None), (201, "", "x"), (202, "```\nint a = 1;\n``` https://a.example/verdict", "x"), (203, _prose(rng, GARDEN, 4) + " " + _prose(rng, COURT, 4), "x"), (1, docs[1][1], "again")]
+    examples = spark.createDataFrame([(i, s, _prose(rng, w, 3)) for i, (s, w) in enumerate([("garden", GARDEN), ("law", COURT)] * 8)] + [(99, None, "soil"), (100, "law", None)], "subject_id int, subject string, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, subject string")
+    how = {"topics": 4, "models": 1, "passes": 2}
+    got = [(r["doc_id"], r["subject"]) for r in subjects.subjects_of(df, "doc_id", "text", examples, **how).collect()]
+    want = [(i, "garden" if i % 2 else "law") for i in range(120)] + [(203, "garden"), (203, "law"), (1, "garden")]
+    assert sorted(got) == sorted(want)
+    assert subjects.subjects_of(df.limit(0), "doc_id", "text", examples, **how).count() == 0
+    assert subjects.subjects_of(df, "doc_id", "text", examples.limit(0), **how).count() == 0
+
+
+def test_documents_in_numbers_are_what_the_texts_hold(spark):
+    texts = ["Soil and mulch. Verdict!\nsoil", None, "", "no known word here. none", "mulch " * 3000, "1 2 3. ..."]
+    number = {w: i for i, w in enumerate([*GARDEN, *COURT])}
+    df = spark.createDataFrame(list(enumerate(texts)), "_k long, _t string").coalesce(1)
+    run = subjects._numbered(spark.sparkContext.broadcast(number))
+    batch = df.mapInArrow(run, f"_k long, {subjects.NUMBERED}").toArrow().combine_chunks().to_batches()[0]
+    for a, b in zip(subjects._unpacked(batch), subjects._flat(number, texts), strict=True):
+        assert a.tolist() == b.tolist()
