@@ -1,78 +1,5 @@
-"""Groups of records that are linked directly or indirectly, by randomised contraction.
+"""Groups of records that are linked directly or indirectly; the contraction itself is shared with the contact operators."""
 
-In every round each vertex hooks to the neighbour (or itself) that comes first in a fresh hash
-order, edges are relabelled and deduplicated, and what remains is contracted again. The mappings of
-the rounds are then expanded backwards. The edges shrink by a constant factor a round, whatever the
-length of chains or the size of hubs.
-"""
+from ..operators.components import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from ..session import cut
-
-#: A key with at least this share of the rows is looked up by broadcast; there are at most 1 / SHARE.
-SHARE = 1 / 500
-#: Below so many rows of a key it isn't worth the detour.
-LEAST = 50_000
-
-
-def _lookup(left: DataFrame, n_left: int, key: str, right: DataFrame, right_key: str, often: DataFrame | None) -> DataFrame:
-    """Inner join with a right side that has each key once; `often` holds the left side's counts by key."""
-    right = right.withColumnRenamed(right_key, key)
-    floor = max(LEAST, int(n_left * SHARE))
-    if often is None or n_left < floor:
-        return left.join(right, key)
-    # At most n_left / floor <= 1 / SHARE keys.
-    hot = often.filter(F.col("_often") >= floor).select(key)
-    hot_rows = right.join(F.broadcast(hot), key, "left_semi")
-    hot_keys = hot_rows.select(key).collect()
-    if not hot_keys:
-        return left.join(right, key)
-    keys = [r[0] for r in hot_keys]
-    is_hot = F.col(key).isin(keys)
-    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key))
-
-
-def _undirected(edges: DataFrame) -> DataFrame:
-    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def connected_components(df: DataFrame, left: Column, right: Column, max_rounds: int = 100) -> DataFrame:
-    """(seqname, groupname): each linked name with the bytewise smallest name of its group.
-
-    Rows with a null on either side, and rows that link a name with itself, link nothing and bring
-    in no name. Repeated rows change nothing; other columns are ignored; an empty table gives no
-    rows.
-    """
-    edges = cut(_undirected(df.select(left.cast("string").alias("a"), right.cast("string").alias("b")).filter("a is not null and b is not null")))
-    maps: list[DataFrame] = []
-    for r in range(max_rounds):
-        n = edges.count()
-        if not n:
-            break
-        order = lambda c: F.struct(F.xxhash64(F.lit(r), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = both.groupBy("a").agg(F.min(order("b")).alias("_m"), F.count("*").alias("_often"))
-        hooked = cut(hooked.select(F.col("a").alias("v"), F.least("_m", order("a"))["v"].alias("rep"), "_often"))
-        maps.append(hooked.select("v", "rep"))
-        often = hooked.select("v", "_often")
-        up = hooked.select("v", "rep")
-        once = _lookup(edges, n, "a", up.withColumnRenamed("rep", "ra"), "v", often.withColumnRenamed("v", "a"))
-        twice = _lookup(once.select("ra", "b"), n, "b", up.withColumnRenamed("rep", "rb"), "v", often.withColumnRenamed("v", "b"))
-        edges = cut(_undirected(twice.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    else:
-        raise RuntimeError(f"edges remain after {max_rounds} rounds")
-    if not maps:
-        return edges.select(F.col("a").alias("seqname"), F.col("b").alias("groupname"))
-    label = maps[-1].select("v", F.col("rep").alias("root"))
-    for m in reversed(maps[:-1]):
-        # A representative without edges left was its group's last vertex.
-        last = label.withColumnRenamed("v", "rep")
-        label = cut(m.join(last, "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
-    n = label.count()
-    groups = label.groupBy("root").agg(F.min("v").alias("groupname"), F.count("*").alias("_often"))
-    named = _lookup(label, n, "root", groups.select("root", "groupname"), "root", groups.select("root", "_often"))
-    return named.select(F.col("v").alias("seqname"), "groupname")
+__all__ = ["connected_components"]

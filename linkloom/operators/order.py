@@ -7,6 +7,7 @@ change bounded segments, or single contigs that don't touch each other, in paral
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,10 +19,13 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions import exprs as E
 from ..session import cut
+from .components import connected_components
 from .ordered import prefix_sum
 
 #: Contigs of a segment that one task rearranges.
 SEGMENT = 64
+#: Contigs of a connected part whose strandedness matrix one task holds in full, and entries of its vector that count as 0.
+DENSE, ZERO = 1500, 1e-9
 
 
 def placed(tour: DataFrame) -> DataFrame:
@@ -81,28 +85,109 @@ def orientation_score(hists: DataFrame, tour: DataFrame) -> DataFrame:
     return _oriented(hists, tour).groupBy("grp").agg((-F.sum(F.col("cnt") * F.ln(_radius() + F.col("gap")))).alias("score"))
 
 
-def leading_signs(strands: DataFrame, tour: DataFrame, steps: int = 20) -> DataFrame:
-    """The tour with signs of the leading eigenvector of the strandedness matrix (rows a, b, v, one direction).
+def leading_signs(strands: DataFrame, tour: DataFrame, dense: int = DENSE, max_rounds: int = 2000) -> DataFrame:
+    """The tour with signs of the leading eigenvectors of the strandedness matrix (rows a, b, v, one direction).
 
-    Power iteration as joins; the matrix is shifted so that the largest eigenvalue leads. The first
-    contig of a group gets +.
+    Connected parts of a group say nothing of each other, so each has its own vector, whose first
+    contig gets +. Parts of up to `dense` contigs are solved in a task each, larger ones by joins.
+    Entries below the precision of the vectors (and contigs without links) count as 0 and get +.
     """
-    both = strands.select("a", "b", "v").unionByName(strands.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
-    members = tour.select("grp", "contig")
-    both = cut(both.join(members.withColumnsRenamed({"contig": "a"}), "a").join(members.withColumnsRenamed({"contig": "b", "grp": "_g"}), "b").filter("grp = _g").select("grp", "a", "b", "v"))
-    shift = both.groupBy("grp", "a").agg(F.sum(F.abs("v")).alias("_r")).groupBy("grp").agg(F.max("_r").alias("shift"))
+    members = tour.select("grp", "contig").distinct()
+    rows = strands.filter("v <> 0 and a <> b").join(members.withColumnsRenamed({"contig": "a"}), "a").join(members.withColumnsRenamed({"contig": "b", "grp": "_g"}), "b").filter("grp = _g")
+    key = lambda c: F.concat_ws("\x1f", "grp", c)
+    rows = cut(rows.select(key("a").alias("a"), key("b").alias("b"), F.col("v").cast("double").alias("v")))
+    part = connected_components(rows, F.col("a"), F.col("b")).toDF("node", "part")
+    size = part.groupBy("part").agg(F.count("*").alias("_n"))
+    part = cut(part.join(size, "part"))
+    rows = cut(rows.join(part.withColumnsRenamed({"node": "a"}), "a"))
+    small = rows.filter(F.col("_n") <= dense).groupBy("part").applyInPandas(_dense_vector, "part string, node string, x double")
+    x = small.unionByName(_leading_vectors(rows.filter(F.col("_n") > dense).select("a", "b", "v"), part.filter(F.col("_n") > dense).select("part", "node"), max_rounds))
+    x = cut(tour.withColumn("node", key("contig")).join(x, "node", "left"))
+    first = x.filter("part is not null").groupBy("part").agg((F.min_by("x", "pos") < 0).alias("_turn"))
+    sign = F.when((F.col("x") != 0) & ((F.col("x") < 0) != F.col("_turn")), -1).otherwise(1)
+    return x.drop("sign").join(first, "part", "left").select("grp", "pos", "contig", "size", sign.alias("sign"))
+
+
+def _dense_vector(rows: pd.DataFrame) -> pd.DataFrame:
+    names = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)])
+    m = np.zeros((len(names),) * 2)
+    i, j = np.searchsorted(names, rows["a"].to_numpy(str)), np.searchsorted(names, rows["b"].to_numpy(str))
+    np.add.at(m, (i, j), rows["v"].to_numpy())
+    np.add.at(m, (j, i), rows["v"].to_numpy())
+    x = np.linalg.eigh(m)[1][:, -1]
+    return pd.DataFrame({"part": rows["part"].iloc[0], "node": names, "x": np.where(np.abs(x) > ZERO, x, 0.0)})
+
+
+def _leading_vectors(rows: DataFrame, part: DataFrame, max_rounds: int, most: int = 24, keep: int = 8) -> DataFrame:
+    """part, node, x: the leading eigenvector of each part of a symmetric matrix (rows a, b, v, one direction).
+
+    Restarted Lanczos: a round multiplies the residual of the best vector so far by the matrix (a
+    join) and adds it to the basis, an array in each row; only the dot products of the basis, a small
+    matrix for each part, come to the driver. Ends when every residual is 0 up to rounding.
+    """
+    spark = part.sparkSession
+    done = spark.createDataFrame([], "part string, node string, x double")
+    both = cut(rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "v")))
     # A start that no eigenvector is likely to be orthogonal to.
-    x = members.select("grp", "contig", (F.pmod(F.xxhash64("contig"), F.lit(1000)) / 1000.0 + 0.5).alias("x"))
-    for i in range(steps):
-        y = both.join(x.select(F.col("contig").alias("b"), "x"), "b").groupBy("grp", F.col("a").alias("contig")).agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-        raw = x.join(y, ["grp", "contig"], "left").join(shift, "grp", "left").select("grp", "contig", (F.coalesce("y", E.double(0)) + F.coalesce("shift", F.lit(1)) * F.col("x")).alias("x"))
-        top = raw.groupBy("grp").agg(F.max(F.abs("x")).alias("_m"))
-        x = raw.join(top, "grp").select("grp", "contig", F.try_divide(F.col("x"), F.col("_m")).alias("x"))
-        if i % 4 == 3:
-            x = cut(x)
-    first = tour.groupBy("grp").agg(F.min_by("contig", "pos").alias("contig")).join(x, ["grp", "contig"]).select("grp", (F.col("x") < 0).alias("_turn"))
-    sign = F.when((F.col("x") < 0) != F.col("_turn"), -1).otherwise(1)
-    return tour.drop("sign").join(x, ["grp", "contig"]).join(first, "grp").select("grp", "pos", "contig", "size", sign.alias("sign"))
+    r = (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) + 0.5) / (1 << 20) - 0.5
+    empty = F.array().cast("array<double>")
+    basis = part.select("part", "node", empty.alias("v"), empty.alias("av"), r.alias("r"))
+    dot = lambda c, x: F.aggregate(F.zip_with(x, c, lambda s, t: s * t), E.double(0), lambda s, t: s + t)
+    scales: dict[str, float] = {}
+    for _ in range(max_rounds):
+        times = both.join(basis.select(F.col("node").alias("b"), "r"), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("v") * F.col("r")).alias("ar"))
+        basis = cut(basis.join(times, "node").select("part", "node", F.array_append("v", F.col("r")).alias("v"), F.array_append("av", F.col("ar")).alias("av")))
+        grams: dict[str, np.ndarray] = {}
+        for p, g in basis.mapInPandas(_grams, "part string, g array<double>").collect():
+            grams[p] = grams.get(p, 0) + np.array(g)
+        if not grams:
+            return done
+        coefs, ready = [], []
+        for p, g in grams.items():
+            g = g.reshape((round(len(g) ** 0.5),) * 2)
+            k = len(g) // 2
+            best = _ritz(g[:k, :k], (g[:k, k:] + g[k:, :k]) / 2)
+            if p in scales and g[k - 1, k - 1] ** 0.5 * scales[p] <= 1e-11 * best[0][0]:
+                # The residual that came last is nothing but rounding, so the vector before it stands.
+                k, g = k - 1, np.delete(np.delete(g, (k - 1, 2 * k - 1), 0), (k - 1, 2 * k - 1), 1)
+                best = _ritz(g[:k, :k], (g[:k, k:] + g[k:, :k]) / 2)
+                ready.append((p, [*best[1][:, 0].tolist(), 0.0]))
+                continue
+            theta, s = best[0][0], best[1][:, 0]
+            c = np.r_[-theta * s, s]
+            scales[p] = max(float(max(c @ g @ c, 0)) ** 0.5, 1e-12 * abs(theta), 1e-300)
+            held = best[1][:, :keep].T if k >= most else np.eye(k)
+            coefs.append((p, (-theta * s / scales[p]).tolist(), (s / scales[p]).tolist(), held.tolist()))
+        if ready:
+            found = basis.join(F.broadcast(spark.createDataFrame(ready, "part string, c array<double>")), "part").select("part", "node", dot(F.col("c"), F.col("v")).alias("x"))
+            done = cut(done.unionByName(found.withColumn("x", F.when(F.abs("x") > ZERO, F.col("x")).otherwise(E.double(0)))))
+        if not coefs:
+            return done
+        b = basis.join(F.broadcast(spark.createDataFrame(coefs, "part string, cv array<double>, ca array<double>, held array<array<double>>")), "part")
+        turned = lambda c: F.transform("held", lambda h: dot(h, F.col(c)))
+        basis = b.select("part", "node", turned("v").alias("v"), turned("av").alias("av"), (dot(F.col("cv"), F.col("v")) + dot(F.col("ca"), F.col("av"))).alias("r"))
+    raise RuntimeError(f"eigenvectors of {len(coefs)} parts haven't settled after {max_rounds} rounds")
+
+
+def _ritz(gram: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values, the largest first, and their vectors of length 1, of a form on a basis with these dot products."""
+    d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    e, u = np.linalg.eigh(gram * np.outer(d, d))
+    # Directions that are rounding alone are left out.
+    use = e > 1e-10
+    w = d[:, None] * u[:, use] / np.sqrt(e[use])
+    value, s = np.linalg.eigh(w.T @ form @ w)
+    return value[::-1], (w @ s)[:, ::-1]
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Dot products of all basis vectors and their images, of the rows of each part that are met."""
+    total: dict[str, np.ndarray] = {}
+    for rows in batches:
+        for p, some in rows.groupby("part"):
+            m = np.c_[np.stack(some["v"].to_list()), np.stack(some["av"].to_list())]
+            total[p] = total.get(p, 0) + m.T @ m
+    yield pd.DataFrame({"part": list(total), "g": [g.ravel() for g in total.values()]})
 
 
 def improve_signs(hists: DataFrame, tour: DataFrame, rounds: int = 10) -> DataFrame:
