@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,9 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as E
+from ..session import cut
+from .components import connected_components
 
-#: Groups with more members aren't allele groups of one locus; their edges are decided by best links instead.
-MOST_MEMBERS = 64
+#: In labels, groups with more members are given by number: a list of all members in every row would grow with the square.
+MOST_NAMED = 64
+#: Edges of two groups that are matched as they are; more are first split into connected components.
+WHOLE = 1000
+#: Widest matrix that is held in full; wider ones are matched from the list of their edges.
+WIDEST = 256
 
 
 def allelic(edges: DataFrame, groups: DataFrame, a: str = "contig1", b: str = "contig2") -> DataFrame:
@@ -66,41 +74,96 @@ def assign(weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _match(rows: pd.DataFrame) -> pd.DataFrame:
-    left, right = np.unique(rows["a"]), np.unique(rows["b"])
-    m = np.zeros((max(len(left), len(right)),) * 2)
-    i, j = np.searchsorted(left, rows["a"]), np.searchsorted(right, rows["b"])
-    np.maximum.at(m, (i, j), rows["n"].to_numpy(float))
-    to = assign(m)
-    return pd.DataFrame({"ga": rows["ga"].iloc[0], "gb": rows["gb"].iloc[0], "a": rows["a"], "b": rows["b"], "kept": to[i] == j})
+def assign_sparse(rows: list[list[tuple[int, float]]], n_cols: int) -> list[int]:
+    """Maximum-weight matching of rows, given as lists of (column, weight), to columns: the column of each row, or -1.
+
+    Shortest augmenting paths with potentials, as in `assign`, over the given edges alone; a path may
+    also end by leaving a row without a column.
+    """
+    u, v = [max((w for _, w in r), default=0) for r in rows], [0] * n_cols
+    col_of, row_of = [-1] * len(rows), [-1] * n_cols
+    for i in range(len(rows)):
+        least, via, met, done, heap = {}, {}, {i: 0}, {}, []
+        r, d, best, free, drop = i, 0, u[i], -1, i
+        while True:
+            if d + u[r] < best:
+                best, drop = d + u[r], r
+            for j, w in rows[r]:
+                at = d + u[r] + v[j] - w
+                if at < best and at < least.get(j, best):
+                    least[j], via[j] = at, r
+                    heapq.heappush(heap, (at, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            d, j = heapq.heappop(heap)
+            if row_of[j] < 0:
+                best, free = d, j
+                break
+            done[j] = d
+            r = row_of[j]
+            met[r] = d
+        for r, d in met.items():
+            u[r] -= best - d
+        for j, d in done.items():
+            v[j] += best - d
+        j = free
+        if free < 0:
+            if drop == i:
+                continue
+            j, col_of[drop] = col_of[drop], -1
+        while True:
+            r = via[j]
+            row_of[j], col_of[r], j = r, j, col_of[r]
+            if r == i:
+                break
+    return col_of
 
 
-def cross_allelic(edges: DataFrame, groups: DataFrame) -> DataFrame:
+def _match(rows: pd.DataFrame) -> pd.DataFrame:
+    left, right = np.unique(rows["x"]), np.unique(rows["y"])
+    i, j = np.searchsorted(left, rows["x"]), np.searchsorted(right, rows["y"])
+    if max(len(left), len(right)) <= WIDEST:
+        m = np.zeros((max(len(left), len(right)),) * 2)
+        np.maximum.at(m, (i, j), rows["n"].to_numpy(float))
+        to = assign(m)
+    else:
+        lists = [[] for _ in left]
+        for k, c, w in zip(i.tolist(), j.tolist(), rows["n"].tolist(), strict=True):
+            lists[k].append((c, w))
+        to = np.array(assign_sparse(lists, len(right)))
+    return rows[["gx", "gy", "x", "y", "ahead"]].assign(kept=to[i] == j)
+
+
+def cross_allelic(edges: DataFrame, groups: DataFrame, whole: int = WHOLE) -> DataFrame:
     """a, b, n, label: edges between two allele groups that a maximum-weight matching of the groups leaves out.
 
-    For every pair of groups that edges link, the edges between them are matched; an edge gets the
-    label of the first pair of groups (by number) where it isn't matched, else ok. Contigs in no
-    group stay ok. Only members with edges enter a matrix; as weights are not negative this changes
-    no sum. Groups with more than MOST_MEMBERS members aren't matched but decided by the best edge of
-    either contig.
+    For every pair of groups that edges link, all edges between them are matched, whichever of their
+    ends comes first by name; an edge gets the label of the first pair of groups (by number) where it
+    isn't matched, else ok. Contigs in no group stay ok. Only members with edges enter; as weights
+    are not negative this changes no sum. The edges of a pair of groups are matched in one task, or,
+    if they are more than `whole`, those of each of their connected components.
     """
-    g = groups.filter("ctg is not null and groupid is not null").distinct()
-    size = g.groupBy("groupid").agg(F.count("*").alias("_s"))
-    sized = g.join(size, "groupid")
+    g = groups.filter("ctg is not null and groupid is not null").select("ctg", "groupid").distinct()
     e = edges.select("a", "b", "n")
-    both = e.join(sized.select(F.col("ctg").alias("a"), F.col("groupid").alias("ga"), F.col("_s").alias("_sa")), "a").join(
-        sized.select(F.col("ctg").alias("b"), F.col("groupid").alias("gb"), F.col("_s").alias("_sb")), "b"
-    ).filter("ga <> gb")
-    small = both.filter((F.col("_sa") <= MOST_MEMBERS) & (F.col("_sb") <= MOST_MEMBERS)).select("ga", "gb", "a", "b", "n")
-    schema = T.StructType([small.schema[c] for c in ("ga", "gb", "a", "b")] + [T.StructField("kept", T.BooleanType())])
+    both = e.join(g.select(F.col("ctg").alias("a"), F.col("groupid").alias("ga")), "a").join(g.select(F.col("ctg").alias("b"), F.col("groupid").alias("gb")), "b").filter("ga <> gb")
+    ahead = F.col("ga") < F.col("gb")
+    pick = lambda c, d: F.when(ahead, F.col(c)).otherwise(F.col(d))
+    sides = cut(both.select(pick("ga", "gb").alias("gx"), pick("gb", "ga").alias("gy"), pick("a", "b").alias("x"), pick("b", "a").alias("y"), "n", ahead.alias("ahead")))
     # A lone edge of two groups is its own matching, so Python sees only the others.
-    many = small.groupBy("ga", "gb").agg(F.count("*").alias("_c")).filter("_c > 1").select("ga", "gb")
-    matched = small.join(many, ["ga", "gb"]).groupBy("ga", "gb").applyInPandas(_match, schema).filter("not kept").select("ga", "gb", "a", "b")
-    large = both.filter((F.col("_sa") > MOST_MEMBERS) | (F.col("_sb") > MOST_MEMBERS))
-    top_a, top_b = large.groupBy("a", "gb").agg(F.max("n").alias("_ta")), large.groupBy("b", "ga").agg(F.max("n").alias("_tb"))
-    weak = large.join(top_a, ["a", "gb"]).join(top_b, ["b", "ga"]).filter("n < _ta and n < _tb").select("ga", "gb", "a", "b")
-    failed = matched.unionByName(weak).groupBy("a", "b").agg(F.min(F.struct("ga", "gb")).alias("_f"))
-    small_names = g.join(size.filter(F.col("_s") <= MOST_MEMBERS), "groupid").groupBy("groupid").agg(F.sort_array(F.collect_list("ctg")).alias("_m"))
+    count = sides.groupBy("gx", "gy").agg(F.count("*").alias("_c")).filter("_c > 1")
+    many = cut(sides.join(count, ["gx", "gy"]))
+    schema = T.StructType([sides.schema[c] for c in ("gx", "gy", "x", "y", "ahead")] + [T.StructField("kept", T.BooleanType())])
+    failed = many.filter(F.col("_c") <= whole).groupBy("gx", "gy").applyInPandas(_match, schema)
+    node = lambda side: F.concat_ws("\x1f", "gx", "gy", F.lit(side), side)
+    wide = many.filter(F.col("_c") > whole).withColumn("_x", node("x"))
+    part = connected_components(wide, F.col("_x"), node("y")).toDF("_x", "_part")
+    failed = failed.unionByName(wide.join(part, "_x").groupBy("_part").applyInPandas(_match, schema)).filter("not kept")
+    failed = failed.select(F.when(F.col("ahead"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("gx").alias("ga"), F.col("gy").alias("gb"))).otherwise(F.struct(F.col("y").alias("a"), F.col("x").alias("b"), F.col("gy").alias("ga"), F.col("gx").alias("gb"))).alias("_e")).select("_e.*")
+    failed = failed.groupBy("a", "b").agg(F.min(F.struct("ga", "gb")).alias("_f"))
+    size = g.groupBy("groupid").agg(F.count("*").alias("_s"))
+    small_names = g.join(size.filter(F.col("_s") <= MOST_NAMED), "groupid").groupBy("groupid").agg(F.sort_array(F.collect_list("ctg")).alias("_m"))
     named = failed.select("a", "b", F.col("_f.ga").alias("ga"), F.col("_f.gb").alias("gb"))
     named = named.join(small_names.select(F.col("groupid").alias("ga"), F.col("_m").alias("_ma")), "ga", "left").join(small_names.select(F.col("groupid").alias("gb"), F.col("_m").alias("_mb")), "gb", "left")
     by_number = lambda m, k: F.coalesce(F.col(m), F.array(F.concat(F.lit("group "), F.col(k).cast("string"))))

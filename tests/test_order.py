@@ -1,9 +1,12 @@
 """Orientation, matching and chains against dense or plain Python."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
-from linkloom.operators import order
+from linkloom.operators import graph, order, prune
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +47,31 @@ def test_leading_signs_that_have_not_settled_fail(spark, hub):
     strands = spark.createDataFrame([(f"c{i}", f"c{j}", v) for (i, j), v in edges.items()], "a string, b string, v long")
     with pytest.raises(RuntimeError):
         order.leading_signs(strands, tour, dense=0, max_rounds=2)
+
+
+def test_sparse_matching_is_maximal():
+    rng = np.random.default_rng(0)
+    for n, m, share in [(1, 1, 1.0), (3, 5, 0.5), (5, 3, 0.7), (6, 6, 0.4), (5, 5, 1.0)] * 8:
+        w = rng.integers(1, 9, (n, m)) * (rng.random((n, m)) < share)
+        to = prune.assign_sparse([[(j, int(w[i, j])) for j in range(m) if w[i, j]] for i in range(n)], m)
+        full = np.zeros((max(n, m),) * 2)
+        full[:n, :m] = w
+        used = [j for j in to if j >= 0]
+        assert len(used) == len(set(used)) and all(j < 0 or w[i, j] for i, j in enumerate(to))
+        assert sum(w[i, j] for i, j in enumerate(to) if j >= 0) == full[range(len(full)), prune.assign(full)].sum()
+
+
+@pytest.mark.parametrize("whole", [0, 1000])
+def test_groups_of_any_size_are_matched_one_to_one(spark, whole):
+    """Two groups of 100 members each, of which five are linked, some by names in the other order."""
+    one, two = [f"c{2 * i:04}" for i in range(100)], [f"c{2 * i + 1:04}" for i in range(100)]
+    groups = spark.createDataFrame([(c, 1) for c in one] + [(c, 2) for c in two], "ctg string, groupid long")
+    edges = [(one[0], two[0], 9), (one[0], two[1], 8), (one[1], two[0], 8), (two[2], one[50], 5), (one[1], two[2], 1), (one[60], two[60], 7), (two[60], one[70], 7)]
+    got = {(r["a"], r["b"]): r["label"] for r in prune.cross_allelic(spark.createDataFrame(edges, "a string, b string, n long"), groups, whole).collect()}
+    kept = [x for x in edges if got[x[:2]] == "ok"]
+    ends = list(itertools.chain.from_iterable(x[:2] for x in kept))
+    assert len(got) == len(edges) and len(ends) == len(set(ends))
+    assert sum(x[2] for x in kept) == 8 + 8 + 5 + 7
+    assert got[one[0], two[0]] == "cross-allelic(group 1|group 2)"
+    lost = [x for x in edges if got[x[:2]] != "ok" and x[0] == two[60]]
+    assert all(got[x[:2]] == "cross-allelic(group 2|group 1)" for x in lost)
