@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from .. import config as C
 from ..functions import exprs as E
 from ..session import cut
+from .components import connected_components
 
 
 def end_nodes(links: DataFrame, lengths: DataFrame, flank: int) -> DataFrame:
@@ -53,15 +54,17 @@ def best_partners(graph: DataFrame) -> DataFrame:
     return best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).filter("a < b")
 
 
-def chains(partners: DataFrame, contigs: DataFrame, max_rounds: int = 64) -> DataFrame:
+def chains(partners: DataFrame, contigs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """contig, chain, n_contigs: contigs joined end to end by partner edges; a chain has its least contig's name.
 
-    Labels double their reach in each round. Cycles lose their lightest edge, so every chain has two
+    Chains are the connected components of the partner edges, of any length; edges that are left after
+    `max_rounds` contractions are an error. Cycles lose their lightest edge, so every chain has two
     ends.
     """
     name = lambda c: F.expr(f"substring({c}, 1, length({c}) - 2)")
     links = cut(partners.select(name("a").alias("x"), name("b").alias("y"), "weight"))
-    label = _least_labels(links.filter("x <> y").select("x", "y"), contigs.select("contig"), max_rounds)
+    found = connected_components(links, F.col("x"), F.col("y"), max_rounds).toDF("contig", "_l")
+    label = cut(contigs.select("contig").distinct().join(found, "contig", "left").select("contig", F.coalesce("_l", "contig").alias("label")))
     per = label.groupBy("label").agg(F.count("*").alias("n"))
     inside = links.join(label.select(F.col("contig").alias("x"), "label"), "x")
     count = inside.groupBy("label").agg(F.count("*").alias("_e"), F.min_by(F.struct("x", "y"), F.struct("weight", "x", "y")).alias("_weak"))
@@ -69,22 +72,6 @@ def chains(partners: DataFrame, contigs: DataFrame, max_rounds: int = 64) -> Dat
     return label.join(per, "label").join(cycles, "label", "left").select("contig", F.col("label").alias("chain"), F.col("n").alias("n_contigs"), "cut_x", "cut_y")
 
 
-def _least_labels(links: DataFrame, vertices: DataFrame, max_rounds: int) -> DataFrame:
-    """contig, label: the least name that is reached over links; each round also jumps to the label's label."""
-    both = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    label = cut(vertices.distinct().withColumn("label", F.col("contig")))
-    for _ in range(max_rounds):
-        near = both.join(label.select(F.col("contig").alias("y"), "label"), "y").groupBy(F.col("x").alias("contig")).agg(F.min("label").alias("_n"))
-        step = label.join(near, "contig", "left").select("contig", F.least("label", F.coalesce("_n", "label")).alias("_l"), "label")
-        jump = step.select(F.col("contig").alias("_l"), F.col("_l").alias("_j"))
-        new = cut(step.join(jump, "_l", "left").select("contig", F.least("_l", F.coalesce("_j", "_l")).alias("new"), "label"))
-        moved = new.filter("new <> label").limit(1).count()
-        label = new.select("contig", F.col("new").alias("label"))
-        if not moved:
-            break
-    return label
-
-
 def modularity(graph: DataFrame, parts: DataFrame) -> DataFrame:
     """One row: q, the modularity of parts (node, part) over undirected edges a, b, weight."""
     p = parts.select("node", "part")

@@ -75,3 +75,15 @@ def test_groups_of_any_size_are_matched_one_to_one(spark, whole):
     assert got[one[0], two[0]] == "cross-allelic(group 1|group 2)"
     lost = [x for x in edges if got[x[:2]] != "ok" and x[0] == two[60]]
     assert all(got[x[:2]] == "cross-allelic(group 2|group 1)" for x in lost)
+
+
+def test_long_chains_with_shuffled_names_stay_whole(spark):
+    names = [f"t{i:05}" for i in range(3000)]
+    random.Random(5).shuffle(names)
+    ring = [f"r{i}" for i in range(40)]
+    partners = [(f"{a}:R", f"{b}:L", 5) for a, b in itertools.pairwise(names)] + [(f"{a}:R", f"{b}:L", 3 + (a != "r7")) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    contigs = spark.createDataFrame([(c,) for c in [*names, *ring, "alone"]], "contig string")
+    rows = graph.chains(spark.createDataFrame(partners, "a string, b string, weight long"), contigs).collect()
+    got = {r["contig"]: (r["chain"], r["n_contigs"], r["cut_x"]) for r in rows}
+    assert len(rows) == 3041 and {got[c] for c in names} == {("t00000", 3000, None)}
+    assert {got[c] for c in ring} == {("r0", 40, "r7")} and got["alone"] == ("alone", 1, None)
