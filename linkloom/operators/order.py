@@ -8,7 +8,6 @@ change bounded segments, or single contigs that don't touch each other, in paral
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -190,61 +189,82 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"part": list(total), "g": [g.ravel() for g in total.values()]})
 
 
-def improve_signs(hists: DataFrame, tour: DataFrame, rounds: int = 10) -> DataFrame:
-    """Flip single contigs while that improves the orientation score.
+def improve_signs(hists: DataFrame, tour: DataFrame) -> DataFrame:
+    """Flip whole groups and single contigs while that improves the orientation score.
 
     The gain of each flip is computed from the contigs it shares histograms with; contigs flip that
-    gain more than all of these, so that gains add up. Stops when no flip gains, or after `rounds`.
+    gain more than all of these, so that gains add up. Ends when no group and no contig gains by a
+    flip; as every flip raises the score, that point is reached.
     """
     signs = cut(tour.select("grp", "pos", "contig", "size", "sign"))
-    near = cut(hists.select("a", "b").distinct())
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    for _ in range(rounds):
-        now = _pair_scores(hists, signs)
-        # Score of each pair if one of the two is flipped.
-        gain = reduce(DataFrame.unionByName, [
-            _pair_scores(hists, signs, flipped=side).withColumnRenamed("s", "t").join(now, ["x", "y"], "full").select(F.col(side).alias("contig"), (F.coalesce("t", E.double(0)) - F.coalesce("s", E.double(0))).alias("d")) for side in ("x", "y")
-        ]).groupBy("contig").agg(F.sum("d").alias("gain")).filter("gain > 1e-9")
-        gain = cut(gain)
-        if not gain.limit(1).count():
-            break
-        rank = lambda c: F.struct(F.col("gain"), F.col(c))
-        rivals = near.join(gain.withColumnRenamed("contig", "b"), "b").groupBy(F.col("a").alias("contig")).agg(F.max(rank("b")).alias("_r"))
-        flips = gain.join(rivals, "contig", "left").filter(F.col("_r").isNull() | (rank("contig") > F.struct(F.col("_r.gain").alias("gain"), F.col("_r.b").alias("contig")))).select("contig", F.lit(-1).alias("_f"))
-        signs = cut(signs.join(flips, "contig", "left").select("grp", "pos", "contig", "size", (F.col("sign") * F.coalesce("_f", F.lit(1))).alias("sign")))
-    return signs
-
-
-def _pair_scores(hists: DataFrame, tour: DataFrame, flipped: str | None = None) -> DataFrame:
-    """x, y, s: what each pair adds to the score, if asked with its earlier (x) or later (y) contig flipped."""
+    pairs = cut(_pair_scores(hists, signs))
+    near = pairs.select("x", "y").distinct()
+    near = cut(near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    turned = True
+    while True:
+        whole = cut(_fitting(pairs, signs).groupBy("grp").agg(F.sum(_change(-1, -1)).alias("gain")).filter("gain > 1e-9").select("grp", F.lit(-1).alias("_f")))
+        if whole.limit(1).count():
+            signs, turned = cut(_flipped(signs, whole, "grp")), True
+        if not turned:
+            return signs
+        turned = False
+        while True:
+            rows = _fitting(pairs, signs)
+            gain = rows.select(F.explode(F.array(F.struct(F.col("x").alias("contig"), _change(-1, 1).alias("d")), F.struct(F.col("y").alias("contig"), _change(1, -1).alias("d")))).alias("e"))
+            gain = cut(gain.groupBy("e.contig").agg(F.sum("e.d").alias("gain")).filter("gain > 1e-9"))
+            if not gain.limit(1).count():
+                break
+            rank = lambda c: F.struct(F.col("gain"), F.col(c))
+            rivals = near.join(gain.withColumnRenamed("contig", "y"), "y").groupBy(F.col("x").alias("contig")).agg(F.max(rank("y")).alias("_r"))
+            flips = gain.join(rivals, "contig", "left").filter(F.col("_r").isNull() | (rank("contig") > F.struct(F.col("_r.gain").alias("gain"), F.col("_r.y").alias("contig")))).select("contig", F.lit(-1).alias("_f"))
+            signs, turned = cut(_flipped(signs, flips, "contig")), True
+
+
+def _flipped(signs: DataFrame, flips: DataFrame, by: str) -> DataFrame:
+    return signs.join(flips, by, "left").select("grp", "pos", "contig", "size", (F.col("sign") * F.coalesce("_f", F.lit(1))).alias("sign"))
+
+
+def _fitting(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Pair scores with the signs of their contigs now, sx and sy."""
+    one = signs.select("grp", F.col("contig").alias("x"), F.col("sign").alias("sx"))
+    return pairs.join(one, ["grp", "x"]).join(one.toDF("grp", "y", "sy"), ["grp", "y"])
+
+
+def _change(fx: int, fy: int) -> Column:
+    """What a row adds to the score if the signs are multiplied by these, less what it adds now."""
+    fits = lambda kx, ky: ((F.col("sx") * kx == F.col("ox")) & (F.col("sy") * ky == F.col("oy"))).cast("double")
+    return F.col("s") * (fits(fx, fy) - fits(1, 1))
+
+
+def _pair_scores(hists: DataFrame, tour: DataFrame) -> DataFrame:
+    """grp, x, y, ox, oy, s: what each pair adds to the score with these signs of its earlier (x) and later (y) contig."""
     at = placed(tour)
     before = at.select("grp", (F.col("pos") + 1).alias("pos"), F.col("cum").alias("cum_before"))
-    at = at.join(before, ["grp", "pos"], "left").select("grp", "pos", "contig", "sign", "cum", "cum_before")
-    rows = _ends(hists, at, ["sign", "cum", "cum_before"])
+    at = at.join(before, ["grp", "pos"], "left").select("grp", "pos", "contig", "cum", "cum_before")
+    rows = _ends(hists, at, ["cum", "cum_before"])
     ahead = F.col("pos_a") < F.col("pos_b")
-    pick = lambda c: (F.when(ahead, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(ahead, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
-    sx, sy = pick("sign")
-    if flipped == "x":
-        sx = -sx
-    if flipped == "y":
-        sy = -sy
     ox = F.when(ahead, F.col("ao")).otherwise(E.flip(F.col("bo")))
     oy = F.when(ahead, F.col("bo")).otherwise(E.flip(F.col("ao")))
-    fits = (F.when(ox == "-", -1).otherwise(1) == sx) & (F.when(oy == "-", -1).otherwise(1) == sy)
+    number = lambda o: F.when(o == "-", -1).otherwise(1)
     gap = F.when(ahead, F.col("cum_before_b") - F.col("cum_a")).otherwise(F.col("cum_before_a") - F.col("cum_b"))
     x, y = F.when(ahead, F.col("a")).otherwise(F.col("b")), F.when(ahead, F.col("b")).otherwise(F.col("a"))
-    kept = rows.withColumn("gap", gap).filter((F.col("gap") <= C.LIMIT) & fits)
-    return kept.groupBy(x.alias("x"), y.alias("y")).agg((-F.sum(F.col("cnt") * F.ln(_radius() + F.col("gap")))).alias("s"))
+    kept = rows.withColumn("gap", gap).filter(F.col("gap") <= C.LIMIT)
+    return kept.groupBy("grp", x.alias("x"), y.alias("y"), number(ox).alias("ox"), number(oy).alias("oy")).agg((-F.sum(F.col("cnt") * F.ln(_radius() + F.col("gap")))).alias("s"))
 
 
-def segment_score(order: np.ndarray, size: np.ndarray, weight: np.ndarray) -> float:
-    """Score of a small order by its dense weights."""
-    s = size[order]
-    mid = np.cumsum(s) - s / 2
-    dist = np.abs(mid[:, None] - mid[None, :])
-    w = weight[np.ix_(order, order)]
-    use = (w > 0) & (dist > 0) & (dist <= C.LIMIT)
-    return -float((w[use] / dist[use]).sum() / 2)
+def segment_scores(orders: np.ndarray, size: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Scores of small orders, a row each: numbers of pieces, with len(size) added where a piece is turned round.
+
+    Links have columns a, b (pieces), n, and how far into either piece they lie.
+    """
+    k = len(size)
+    which, (a, b) = orders % k, links[:, :2].astype(int).T
+    start, turned = np.empty(orders.shape), np.empty(orders.shape, bool)
+    np.put_along_axis(start, which, np.cumsum(size[which], 1) - size[which], 1)
+    np.put_along_axis(turned, which, orders >= k, 1)
+    at = lambda p, off: start[:, p] + np.where(turned[:, p], size[p] - off, off)
+    dist = np.abs(at(a, links[:, 3]) - at(b, links[:, 4]))
+    return -np.where((dist > 0) & (dist <= C.LIMIT), links[:, 2] / np.maximum(dist, 1e-9), 0).sum(1)
 
 
 def mutate(order: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -266,61 +286,92 @@ def mutate(order: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def search(size: np.ndarray, weight: np.ndarray, seed: int, people: int, stale: int, rate: float = C.MUTA_PROB) -> np.ndarray:
+def turn_round(order: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Turn a stretch round with each of its pieces."""
+    i, j = np.sort(rng.integers(0, k, 2))
+    out = order.copy()
+    out[i : j + 1] = (out[i : j + 1][::-1] + k) % (2 * k)
+    return out
+
+
+def search(size: np.ndarray, links: np.ndarray, seed: int, people: int, stale: int, rate: float = C.MUTA_PROB) -> np.ndarray:
     """A genetic search by mutation alone: tournaments of three, the best one stays; ends after `stale` turns without gain."""
-    rng, n = np.random.default_rng(seed), len(size)
-    pool = [np.arange(n) for _ in range(people)]
-    score = [segment_score(pool[0], size, weight)] * people
+    rng = np.random.default_rng(seed)
+    pool = np.tile(np.arange(len(size)), (people, 1))
+    score = segment_scores(pool, size, links)
     best, at, idle = score[0], pool[0], 0
     while idle < stale:
         picks = rng.integers(0, people, (people, 3))
-        new = [pool[p[int(np.argmin([score[k] for k in p]))]] for p in picks]
-        new = [mutate(o, rng) if rng.random() < max(rate, 0.5) else o for o in new]
-        new[0] = at
-        pool, score = new, [segment_score(o, size, weight) for o in new]
+        pool = pool[picks[np.arange(people), score[picks].argmin(1)]]
+        for i in np.flatnonzero(rng.random(people) < max(rate, 0.5)):
+            pool[i] = mutate(pool[i], rng) if rng.random() < 0.7 else turn_round(pool[i], len(size), rng)
+        pool[0] = at
+        score = segment_scores(pool, size, links)
         k = int(np.argmin(score))
         idle = 0 if score[k] < best - 1e-15 else idle + 1
         if score[k] < best:
-            best, at = score[k], pool[k]
+            best, at = score[k], pool[k].copy()
     return at
 
 
-def improve_order(contacts: DataFrame, tour: DataFrame, turns: int = 2, segment: int = SEGMENT, people: int = 12, stale: int = 30, seed: int = C.SEED) -> DataFrame:
+def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT, people: int = C.NPOP, stale: int = C.NGEN, seed: int = C.SEED) -> DataFrame:
     """The tour with a score not worse than before.
 
     Each group is cut into segments, which are rearranged by a genetic search in parallel; in the
-    next turn the cuts lie half a segment further. A turn counts for a group only if the score of the
-    whole group gets better.
+    next turn the cuts lie half a segment further. Then whole segments are the pieces that change
+    place or turn round, and so on with longer ones, until one stretch holds the whole group; links
+    of longer pieces count at the mean of their places. A turn counts for a group only if the score
+    of the whole group gets better. Ends when no group got better since all of these were last tried.
     """
     now = cut(tour.select("grp", "pos", "contig", "size"))
-    links = contacts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
-    for turn in range(turns):
-        seg = F.floor((F.col("pos") + (turn % 2) * (segment // 2)) / segment).cast("long")
-        parts = now.withColumn("seg", seg)
-        # Contacts within a segment, gathered at their first contig.
-        ends = _ends(links, parts, ["seg"]).filter("seg_a = seg_b").select(F.col("a").alias("contig"), F.struct("b", "n").alias("l")).groupBy("contig").agg(F.collect_list("l").alias("links"))
-        full = parts.join(ends, "contig", "left").select("grp", "seg", "pos", "contig", "size", F.col("links.b").alias("other"), F.col("links.n").alias("n"))
-        schema = T.StructType([now.schema["grp"], now.schema["pos"], now.schema["contig"], now.schema["size"]])
-        new = cut(full.groupBy("grp", "seg").applyInPandas(_rearrange(seed + turn, people, stale), schema))
-        old_s, new_s = tour_score(links, now), tour_score(links, new).withColumnRenamed("score", "_new")
-        better = old_s.join(new_s, "grp").filter("_new < score").select("grp")
-        now = cut(new.join(better, "grp", "left_semi").unionByName(now.join(better, "grp", "left_anti")))
+    links = cut(contacts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")))
+    longest = now.agg(F.max(F.col("pos") + 1)).first()[0] or 0
+    kinds = [(1, 0), (1, 1)]
+    while kinds[-1][0] * segment < longest:
+        kinds += [(kinds[-1][0] * segment, k) for k in (0, 1)]
+    old_s = cut(tour_score(links, now))
+    schema = T.StructType([now.schema["grp"], *T.StructType.fromDDL("unit long, first long, start long, len long, turned boolean").fields])
+    turn = idle = 0
+    while idle < len(kinds):
+        piece, half = kinds[turn % len(kinds)]
+        unit = F.floor(F.col("pos") / piece).cast("long")
+        parts = placed(now).withColumn("unit", unit).withColumn("seg", F.floor((unit + half * (segment // 2)) / segment).cast("long"))
+        units = parts.groupBy("grp", "seg", "unit").agg(F.sum("size").alias("size"), F.count("*").alias("len"), F.min("pos").alias("pos"), F.min("cum").alias("at"))
+        parts = cut(parts.join(units.select("grp", "unit", "at"), ["grp", "unit"]).withColumn("off", F.col("mid") - F.col("at")))
+        # Contacts within a segment, gathered at the first of their pieces.
+        ends = _ends(links, parts, ["seg", "unit", "off"]).filter("seg_a = seg_b and unit_a <> unit_b")
+        first = F.col("unit_a") < F.col("unit_b")
+        pick = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+        ends = ends.select("grp", pick("unit_a", "unit_b").alias("unit"), pick("unit_b", "unit_a").alias("other"), "n", pick("off_a", "off_b").alias("o"), pick("off_b", "off_a").alias("p"))
+        mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
+        ends = ends.groupBy("grp", "unit", "other").agg(F.sum("n").cast("double").alias("n"), mean("o"), mean("p"))
+        ends = ends.groupBy("grp", "unit").agg(F.collect_list(F.array(F.col("other").cast("double"), "n", "o", "p")).alias("links"))
+        found = units.join(ends, ["grp", "unit"], "left").groupBy("grp", "seg").applyInPandas(_rearrange(seed + turn, people, stale), schema)
+        inside = F.col("pos") - F.col("first")
+        new = parts.join(found, ["grp", "unit"]).select("grp", (F.col("start") + F.when(F.col("turned"), F.col("len") - 1 - inside).otherwise(inside)).alias("pos"), "contig", "size")
+        new = cut(new)
+        new_s = cut(tour_score(links, new).withColumnRenamed("score", "_new"))
+        # Gains that rounding alone could make don't count.
+        better = cut(old_s.join(new_s, "grp").filter("_new < score - 1e-12 * abs(score)").select("grp", "_new"))
+        turn, idle = turn + 1, idle + 1
+        if better.limit(1).count():
+            now, idle = cut(new.join(better, "grp", "left_semi").unionByName(now.join(better, "grp", "left_anti"))), 0
+            old_s = cut(old_s.join(better, "grp", "left").select("grp", F.coalesce("_new", "score").alias("score")))
     return now
 
 
 def _rearrange(seed: int, people: int, stale: int):
+    """Where each piece of a segment starts, and whether it is turned round."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", ignore_index=True)
-        place = {c: i for i, c in enumerate(rows["contig"])}
-        w = np.zeros((len(rows),) * 2)
-        for i, (others, ns) in enumerate(zip(rows["other"], rows["n"], strict=True)):
-            if others is not None:
-                for o, n in zip(others, ns, strict=True):
-                    w[i, place[o]] += n
-                    w[place[o], i] += n
-        order = search(rows["size"].to_numpy(float), w, seed + int(rows["pos"].iloc[0]), people, stale) if len(rows) > 1 and w.any() else np.arange(len(rows))
-        out = rows[["grp", "pos", "contig", "size"]].copy()
-        out["contig"], out["size"] = rows["contig"].to_numpy()[order], rows["size"].to_numpy()[order]
-        return out
+        rows = rows.sort_values("unit", ignore_index=True)
+        place, k = {u: i for i, u in enumerate(rows["unit"])}, len(rows)
+        links = sorted((i, place[int(l[0])], *l[1:]) for i, some in enumerate(rows["links"]) if some is not None for l in some)
+        order = search(rows["size"].to_numpy(float), np.array(links), seed + int(rows["pos"].iloc[0]), people, stale) if links else np.arange(k)
+        which, length = order % k, rows["len"].to_numpy()
+        start, turned = np.empty(k, np.int64), np.empty(k, bool)
+        start[which] = rows["pos"].iloc[0] + np.cumsum(length[which]) - length[which]
+        turned[which] = order >= k
+        return pd.DataFrame({"grp": rows["grp"], "unit": rows["unit"], "first": rows["pos"], "start": start, "len": length, "turned": turned})
 
     return run

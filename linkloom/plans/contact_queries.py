@@ -331,13 +331,13 @@ def q_leading_signs(spark, d):
 
 
 def q_improved_signs(spark, d):
-    """Orientations after single flips that gain."""
-    return order.improve_signs(_hists(spark, d).persist(), tour(spark, d), 3).select("grp", "pos", "contig", "sign")
+    """Orientations after flips of groups and contigs, until none gains."""
+    return order.improve_signs(_hists(spark, d), tour(spark, d)).select("grp", "pos", "contig", "sign")
 
 
 def q_improved_order(spark, d):
-    """Orders after a search within segments."""
-    return order.improve_order(pair_totals(spark, d).persist(), tour(spark, d), turns=2).select("grp", "pos", "contig")
+    """Orders after a search within segments and of their places, until no group gets better."""
+    return order.improve_order(pair_totals(spark, d), tour(spark, d)).select("grp", "pos", "contig")
 
 
 def q_agp(spark, d):

@@ -87,3 +87,38 @@ def test_long_chains_with_shuffled_names_stay_whole(spark):
     got = {r["contig"]: (r["chain"], r["n_contigs"], r["cut_x"]) for r in rows}
     assert len(rows) == 3041 and {got[c] for c in names} == {("t00000", 3000, None)}
     assert {got[c] for c in ring} == {("r0", 40, "r7")} and got["alone"] == ("alone", 1, None)
+
+
+def test_signs_are_flipped_until_nothing_gains(spark):
+    rng = np.random.default_rng(2)
+    n = 24
+    tour = spark.createDataFrame([("g", i, f"c{i:02}", 1000, 1) for i in range(n)], "grp string, pos long, contig string, size long, sign int")
+    hist = [(f"c{i:02}", f"c{j:02}", ao, bo, 18 + int(rng.integers(0, 3)), int(rng.integers(1, 50))) for i in range(n) for j in range(i + 1, min(n, i + 3)) for ao in "+-" for bo in "+-" if rng.random() < 0.7]
+    hists = spark.createDataFrame(hist, "a string, b string, ao string, bo string, bucket int, cnt long")
+    done = order.improve_signs(hists, tour)
+    score = lambda t: order.orientation_score(hists, t).first()["score"]
+    pairs = [r.asDict() for r in order._pair_scores(hists, tour).collect()]
+    value = lambda s: sum(p["s"] for p in pairs if s[p["x"]] == p["ox"] and s[p["y"]] == p["oy"])
+    signs = {r["contig"]: r["sign"] for r in done.collect()}
+    best = value(signs)
+    assert abs(best - score(done)) < 1e-6 and best > value(dict.fromkeys(signs, 1))
+    assert all(value(signs | {c: -signs[c]}) <= best + 1e-6 for c in signs)
+    assert value({c: -s for c, s in signs.items()}) <= best + 1e-6
+
+
+def test_segments_change_place(spark):
+    """A chain whose stretches of four lie in another order: no search within stretches joins them."""
+    at = [i + 4 * b for b in (2, 0, 3, 1) for i in range(4)]
+    tour = spark.createDataFrame([("g", p, f"c{c:02}", 1000) for p, c in enumerate(at)], "grp string, pos long, contig string, size long")
+    contacts = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}", 100) for i in range(15)], "a string, b string, n long")
+    got = [r["contig"] for r in order.improve_order(contacts, tour, segment=4, people=20, stale=40).orderBy("pos").collect()]
+    assert got in (sorted(got), sorted(got)[::-1])
+
+
+def test_search_takes_the_population_and_patience_of_the_reference():
+    import inspect
+
+    from linkloom import config as C
+
+    how = inspect.signature(order.improve_order).parameters
+    assert (how["people"].default, how["stale"].default) == (C.NPOP, C.NGEN) == (100, 5000)
