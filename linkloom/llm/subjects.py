@@ -144,22 +144,26 @@ def _posterior(lex: Lexicon, term: np.ndarray, place: np.ndarray, doc_of: np.nda
     return np.where(about[:, None], out / np.maximum(out.sum(1, keepdims=True), 1e-300), 0), about
 
 
-def vocabulary(tokens: DataFrame, n: int, common: set[str]) -> list[str]:
-    """Terms by their number of documents, counted over all of them."""
+def vocabulary(tokens: DataFrame, n: int, common: set[str], tied: set[str] = frozenset()) -> list[str]:
+    """Terms by their number of documents, counted over all `n` of them; `tied` ones stay however frequent they are."""
     least = max(LEAST_DOCS, int(LEAST_SHARE * n))
     most = max(int(MOST_SHARE * n), least)
-    counts = tokens.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter((F.col("c") >= least) & (F.col("c") <= most))
-    rows = counts.orderBy(F.desc("c"), "t").limit(VOCABULARY + len(common)).collect()
+    counts = tokens.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+    known = tokens.sparkSession.createDataFrame([(t, True) for t in sorted(tied)], "t string, tied boolean")
+    rows = counts.join(F.broadcast(known), "t", "left").filter((F.col("c") <= most) | F.col("tied")).orderBy(F.desc("c"), "t").collect()
     return [r["t"] for r in rows if r["t"] not in common][:VOCABULARY]
 
 
-def _examples(examples: DataFrame) -> tuple[list[str], list[tuple[str, list[str]]], set[str]]:
+def _examples(examples: DataFrame) -> tuple[list[str], list[tuple[str, list[str]]], set[str], set[str]]:
+    """Subjects, examples with their terms, terms of too many subjects, and terms that tell some subjects from others."""
     rows = examples.filter("subject is not null and text is not null").select("subject", terms(F.col("text")).alias("w")).orderBy("subject", "w").limit(EXAMPLES).collect()
     by_word: dict[str, set[str]] = {}
     for r in rows:
         for w in r["w"]:
             by_word.setdefault(w, set()).add(r["subject"])
-    return sorted({r["subject"] for r in rows}), [(r["subject"], r["w"]) for r in rows], {w for w, s in by_word.items() if len(s) >= COMMON}
+    subjects = sorted({r["subject"] for r in rows})
+    tied = {w for w, s in by_word.items() if len(s) < min(COMMON, len(subjects))}
+    return subjects, [(r["subject"], r["w"]) for r in rows], {w for w, s in by_word.items() if len(s) >= COMMON}, tied
 
 
 def inspect_topics(topics: np.ndarray, seen: np.ndarray, top: int = TOP_TERMS) -> np.ndarray:
@@ -180,17 +184,24 @@ def inspect_topics(topics: np.ndarray, seen: np.ndarray, top: int = TOP_TERMS) -
 
 
 def fit(rows: DataFrame, examples: DataFrame, topics: int = TOPICS, models: int = MODELS, passes: int = PASSES) -> tuple[Lexicon, DataFrame]:
-    """Terms of the corpus (columns _k, _t) and how far each belongs to the subjects of the examples; and the documents in numbers."""
-    subjects, labelled, common = _examples(examples)
-    tokens = rows.select(terms(F.coalesce(F.col("_t"), F.lit(""))).alias("w"))
-    n = rows.count()
-    vocab = vocabulary(tokens, n, common) if subjects else []
+    """Terms of the corpus (columns _k, _t) and how far each belongs to the subjects of the examples; and the documents in numbers.
+
+    Copies of a text count once in all that is learned, so that a text of many rows neither makes its
+    terms look like stop words nor outweighs the others; the numbers have all rows.
+    """
+    subjects, labelled, common, tied = _examples(examples)
+    texts = rows.filter("_t is not null").groupBy(F.md5("_t").alias("_h")).agg(F.first("_t").alias("_t")).persist()
+    n = texts.count()
+    vocab = vocabulary(texts.select(terms(F.col("_t")).alias("w")), n, common, tied) if subjects else []
     number = {w: i for i, w in enumerate(vocab)}
     spark = rows.sparkSession
     schema = T.StructType([rows.schema["_k"], *T.StructType.fromDDL(NUMBERED).fields])
-    numbered = rows.mapInArrow(_numbered(spark.sparkContext.broadcast(number)), schema).persist()
+    known = spark.sparkContext.broadcast(number)
+    everything = rows.select("_k", "_t").mapInArrow(_numbered(known), schema)
     if not vocab:
-        return Lexicon(subjects, {}, np.zeros((0, len(subjects)))), numbered
+        texts.unpersist()
+        return Lexicon(subjects, {}, np.zeros((0, len(subjects)))), everything
+    numbered = texts.mapInArrow(_numbered(known), f"_k string, {NUMBERED}").persist()
     seen = np.zeros((len(vocab), len(subjects)))
     for s, ws in labelled:
         for w in ws:
@@ -204,6 +215,7 @@ def fit(rows: DataFrame, examples: DataFrame, topics: int = TOPICS, models: int
         of_term = found / found.sum(1, keepdims=True)
         weight += of_term @ inspect_topics(found, seen) / models
     counted.unpersist()
+    texts.unpersist()
     # What a term lacks to 1 belongs to no subject. Terms of the examples keep half of what these say.
     share = seen / np.maximum(seen.sum(1, keepdims=True), 1)
     lex = Lexicon(subjects, number, np.where(seen.any(1, keepdims=True), (weight + share) / 2, weight))
@@ -220,7 +232,8 @@ def fit(rows: DataFrame, examples: DataFrame, topics: int = TOPICS, models: int
         rate = full / np.maximum(full.sum(0, keepdims=True), 1e-9) * full.sum() / len(subjects)
         none = total[:, -1:] * 1.0
         lex = Lexicon(subjects, number, rate / np.maximum(rate.sum(1, keepdims=True) + none, 1e-9))
-    return lex, numbered
+    numbered.unpersist()
+    return lex, everything
 
 
 def _counts(lexicon, by_others: bool):

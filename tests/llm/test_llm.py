@@ -145,3 +145,18 @@ def test_documents_in_numbers_are_what_the_texts_hold(spark):
     batch = df.mapInArrow(run, f"_k long, {subjects.NUMBERED}").toArrow().combine_chunks().to_batches()[0]
     for a, b in zip(subjects._unpacked(batch), subjects._flat(number, texts), strict=True):
         assert a.tolist() == b.tolist()
+
+
+def test_subjects_where_a_third_of_the_rows_are_copies(spark):
+    """The terms of a copied text, and core terms of a subject that fills half of the corpus, aren't stop words."""
+    rng = random.Random(7)
+    docs = [(i, "The soil. " * (i % 2) + _prose(rng, GARDEN if i % 2 else COURT, 6)) for i in range(120)]
+    copied = " ".join(f"The {a} and {b} near {c}." for a, b, c in zip(GARDEN[:12:3], GARDEN[1:12:3], GARDEN[2:12:3], strict=True))
+    docs += [(i, copied) for i in range(120, 180)]
+    examples = spark.createDataFrame([(s, _prose(rng, w, 6)) for s, w in [("garden", GARDEN), ("law", COURT)] * 8], "subject string, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    how = {"topics": 4, "models": 1, "passes": 2}
+    lex, _ = subjects.fit(df.toDF("_k", "_t"), examples, **how)
+    assert set(GARDEN[:12]) <= set(lex.number) and "the" not in lex.number
+    got = [(r["doc_id"], r["subject"]) for r in subjects.subjects_of(df, "doc_id", "text", examples, **how).collect()]
+    assert sorted(got) == [(i, "garden" if i % 2 or i >= 120 else "law") for i in range(180)]
