@@ -23,8 +23,8 @@ from .ordered import prefix_sum
 
 #: Contigs of a segment that one task rearranges.
 SEGMENT = 64
-#: Contigs of a connected part whose strandedness matrix one task holds in full, and entries of its vector that count as 0.
-DENSE, ZERO = 1500, 1e-9
+#: Pairs of a connected part whose strandedness matrix one task holds, and entries of its vector that count as 0.
+HELD, ZERO = 500_000, 1e-9
 
 
 def placed(tour: DataFrame) -> DataFrame:
@@ -84,37 +84,60 @@ def orientation_score(hists: DataFrame, tour: DataFrame) -> DataFrame:
     return _oriented(hists, tour).groupBy("grp").agg((-F.sum(F.col("cnt") * F.ln(_radius() + F.col("gap")))).alias("score"))
 
 
-def leading_signs(strands: DataFrame, tour: DataFrame, dense: int = DENSE, max_rounds: int = 2000) -> DataFrame:
+def leading_signs(strands: DataFrame, tour: DataFrame, held: int = HELD, max_rounds: int = 2000) -> DataFrame:
     """The tour with signs of the leading eigenvectors of the strandedness matrix (rows a, b, v, one direction).
 
     Connected parts of a group say nothing of each other, so each has its own vector, whose first
-    contig gets +. Parts of up to `dense` contigs are solved in a task each, larger ones by joins.
+    contig gets +. Parts of up to `held` pairs are solved in a task each, larger ones by joins, both by
+    Lanczos steps until the residual is 0 up to rounding, or an error after `max_rounds`.
     Entries below the precision of the vectors (and contigs without links) count as 0 and get +.
     """
     members = tour.select("grp", "contig").distinct()
     rows = strands.filter("v <> 0 and a <> b").join(members.withColumnsRenamed({"contig": "a"}), "a").join(members.withColumnsRenamed({"contig": "b", "grp": "_g"}), "b").filter("grp = _g")
     key = lambda c: F.concat_ws("\x1f", "grp", c)
     rows = cut(rows.select(key("a").alias("a"), key("b").alias("b"), F.col("v").cast("double").alias("v")))
-    part = connected_components(rows, F.col("a"), F.col("b")).toDF("node", "part")
-    size = part.groupBy("part").agg(F.count("*").alias("_n"))
-    part = cut(part.join(size, "part"))
-    rows = cut(rows.join(part.withColumnsRenamed({"node": "a"}), "a"))
-    small = rows.filter(F.col("_n") <= dense).groupBy("part").applyInPandas(_dense_vector, "part string, node string, x double")
-    x = small.unionByName(_leading_vectors(rows.filter(F.col("_n") > dense).select("a", "b", "v"), part.filter(F.col("_n") > dense).select("part", "node"), max_rounds))
+    part = cut(connected_components(rows, F.col("a"), F.col("b")).toDF("node", "part"))
+    rows = cut(rows.join(part.toDF("a", "part"), "a"))
+    many = rows.groupBy("part").agg(F.count("*").alias("_n")).filter(F.col("_n") > held).select("part")
+    # Parts of more than `held` pairs are few.
+    large = [r[0] for r in many.collect()]
+    is_large = F.col("part").isin(large) if large else F.lit(False)
+    x = rows.filter(~is_large).groupBy("part").applyInPandas(_one_vector(max_rounds), "part string, node string, x double")
+    if large:
+        x = x.unionByName(_leading_vectors(rows.filter(is_large).select("a", "b", "v"), part.filter(is_large).select("part", "node"), max_rounds))
     x = cut(tour.withColumn("node", key("contig")).join(x, "node", "left"))
     first = x.filter("part is not null").groupBy("part").agg((F.min_by("x", "pos") < 0).alias("_turn"))
     sign = F.when((F.col("x") != 0) & ((F.col("x") < 0) != F.col("_turn")), -1).otherwise(1)
     return x.drop("sign").join(first, "part", "left").select("grp", "pos", "contig", "size", sign.alias("sign"))
 
 
-def _dense_vector(rows: pd.DataFrame) -> pd.DataFrame:
-    names = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)])
-    m = np.zeros((len(names),) * 2)
-    i, j = np.searchsorted(names, rows["a"].to_numpy(str)), np.searchsorted(names, rows["b"].to_numpy(str))
-    np.add.at(m, (i, j), rows["v"].to_numpy())
-    np.add.at(m, (j, i), rows["v"].to_numpy())
-    x = np.linalg.eigh(m)[1][:, -1]
-    return pd.DataFrame({"part": rows["part"].iloc[0], "node": names, "x": np.where(np.abs(x) > ZERO, x, 0.0)})
+def leading_vector(n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray, max_rounds: int = 2000, most: int = 40, keep: int = 10) -> np.ndarray:
+    """Leading eigenvector of a symmetric matrix of n rows with entries v at (i, j) and (j, i), by restarted Lanczos steps."""
+    times = lambda x: np.bincount(i, v * x[j], n) + np.bincount(j, v * x[i], n)
+    basis, image = np.zeros((0, n)), np.zeros((0, n))
+    r = np.random.default_rng(1).random(n) - 0.5
+    for _ in range(max_rounds):
+        for _ in range(2):
+            r = r / np.linalg.norm(r)
+            r = r - basis.T @ (basis @ r)
+        r = r / np.linalg.norm(r)
+        basis, image = np.vstack([basis, r]), np.vstack([image, times(r)])
+        value, s = np.linalg.eigh(basis @ image.T)
+        x, r = s[:, -1] @ basis, s[:, -1] @ image - value[-1] * (s[:, -1] @ basis)
+        if np.linalg.norm(r) <= 1e-11 * abs(value[-1]):
+            return x
+        if len(basis) >= most:
+            basis, image = s[:, -keep:].T @ basis, s[:, -keep:].T @ image
+    raise RuntimeError(f"the eigenvector of a part of {n} contigs hasn't settled after {max_rounds} rounds")
+
+
+def _one_vector(max_rounds: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)], return_inverse=True)
+        x = leading_vector(len(names), *at.reshape(2, -1), rows["v"].to_numpy(), max_rounds)
+        return pd.DataFrame({"part": rows["part"].iloc[0], "node": names, "x": np.where(np.abs(x) > ZERO, x, 0.0)})
+
+    return run
 
 
 def _leading_vectors(rows: DataFrame, part: DataFrame, max_rounds: int, most: int = 24, keep: int = 8) -> DataFrame:

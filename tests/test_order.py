@@ -23,8 +23,8 @@ def hub():
     return n, n + 12, edges
 
 
-@pytest.mark.parametrize("dense", [0, 1500])
-def test_leading_signs_equal_a_dense_eigenvector(spark, hub, dense):
+@pytest.mark.parametrize("held", [0, order.HELD])
+def test_leading_signs_equal_a_dense_eigenvector(spark, hub, held):
     n, full, edges = hub
     tour = spark.createDataFrame([("g", i, f"c{i}", 1, 1) for i in range(full + 2)], "grp string, pos long, contig string, size long, sign int")
     strands = spark.createDataFrame([(f"c{i}", f"c{j}", v) for (i, j), v in edges.items()], "a string, b string, v long")
@@ -37,16 +37,17 @@ def test_leading_signs_equal_a_dense_eigenvector(spark, hub, dense):
         for i in range(lo, hi):
             if abs(x[i - lo]) > 1e-9:
                 want[i] = 1 if (x[i - lo] < 0) == (x[0] < 0) else -1
-    got = {r["pos"]: r["sign"] for r in order.leading_signs(strands, tour, dense=dense).collect()}
+    got = {r["pos"]: r["sign"] for r in order.leading_signs(strands, tour, held=held).collect()}
     assert [got[i] for i in range(full + 2)] == want
 
 
-def test_leading_signs_that_have_not_settled_fail(spark, hub):
+@pytest.mark.parametrize("held", [0, order.HELD])
+def test_leading_signs_that_have_not_settled_fail(spark, hub, held):
     _, full, edges = hub
     tour = spark.createDataFrame([("g", i, f"c{i}", 1, 1) for i in range(full)], "grp string, pos long, contig string, size long, sign int")
     strands = spark.createDataFrame([(f"c{i}", f"c{j}", v) for (i, j), v in edges.items()], "a string, b string, v long")
-    with pytest.raises(RuntimeError):
-        order.leading_signs(strands, tour, dense=0, max_rounds=2)
+    with pytest.raises(Exception, match="settled"):
+        order.leading_signs(strands, tour, held=held, max_rounds=2).collect()
 
 
 def test_sparse_matching_is_maximal():
