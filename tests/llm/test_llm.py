@@ -129,7 +129,7 @@ def test_subjects_of_documents(spark):
     docs += [(200, None, None), (201, "", "x"), (202, "```\nint a = 1;\n``` https://a.example/verdict", "x"), (203, _prose(rng, GARDEN, 4) + " " + _prose(rng, COURT, 4), "x"), (1, docs[1][1], "again")]
     examples = spark.createDataFrame([(i, s, _prose(rng, w, 3)) for i, (s, w) in enumerate([("garden", GARDEN), ("law", COURT)] * 8)] + [(99, None, "soil"), (100, "law", None)], "subject_id int, subject string, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string, subject string")
-    how = {"topics": 4, "models": 1, "passes": 2}
+    how = {"topics": 4, "models": 1}
     got = [(r["doc_id"], r["subject"]) for r in subjects.subjects_of(df, "doc_id", "text", examples, **how).collect()]
     want = [(i, "garden" if i % 2 else "law") for i in range(120)] + [(203, "garden"), (203, "law"), (1, "garden")]
     assert sorted(got) == sorted(want)
@@ -137,14 +137,44 @@ def test_subjects_of_documents(spark):
     assert subjects.subjects_of(df, "doc_id", "text", examples.limit(0), **how).count() == 0
 
 
-def test_documents_in_numbers_are_what_the_texts_hold(spark):
-    texts = ["Soil and mulch. Verdict!\nsoil", None, "", "no known word here. none", "mulch " * 3000, "1 2 3. ..."]
-    number = {w: i for i, w in enumerate([*GARDEN, *COURT])}
-    df = spark.createDataFrame(list(enumerate(texts)), "_k long, _t string").coalesce(1)
-    run = subjects._numbered(spark.sparkContext.broadcast(number))
-    batch = df.mapInArrow(run, f"_k long, {subjects.NUMBERED}").toArrow().combine_chunks().to_batches()[0]
-    for a, b in zip(subjects._unpacked(batch), subjects._flat(number, texts), strict=True):
-        assert a.tolist() == b.tolist()
+def test_texts_in_words(spark):
+    texts = ["Soil and mulch. Verdict!\nsoil", None, "", "```\nint a = 1;\n``` See https://a.example/soil", "mulch " * 3000]
+    rows = subjects.cut_texts(spark.createDataFrame(list(enumerate(texts)), "_k long, _t string")).orderBy("_k").collect()
+    assert [(r["words"], r["place"], r["n_sentences"]) for r in rows[:4]] == [(["soil", "and", "mulch", "verdict", "soil"], [0, 0, 0, 1, 2], 3), ([], [], 0), ([], [], 0), (["see"], [0], 1)]
+    assert rows[4]["words"] == ["mulch"] * 3000 and rows[4]["n_sentences"] == 1
+
+
+def test_contexts_count_every_pair_in_the_window(spark):
+    docs = [["a", "b", "x", "a", "c"], ["c", "a"], ["b"], []]
+    df = spark.createDataFrame([(w, [0] * len(w)) for w in docs], "words array<string>, place array<int>")
+    terms = ["a", "b", "c"]
+    want = np.zeros((3, 3))
+    for d in docs:
+        seq = [terms.index(w) for w in d if w in terms]
+        for i, j in itertools.permutations(range(len(seq)), 2):
+            want[seq[i], seq[j]] += abs(i - j) <= 2
+    got = [r[0].toArray() for r in subjects.contexts(df, terms, window=2).collect()]
+    want = want / want.sum(1, keepdims=True) * subjects.CONTEXT
+    assert sorted(x.round(6).tolist() for x in got) == sorted(want.round(6).tolist())
+
+
+def test_subjects_come_from_the_topics(spark, monkeypatch):
+    """Topics that are all equal tell no document from another."""
+    rng = random.Random(6)
+    docs = [(i, _prose(rng, GARDEN if i % 2 else COURT, 6)) for i in range(120)]
+    examples = spark.createDataFrame([(s, _prose(rng, w, 6)) for s, w in [("garden", GARDEN), ("law", COURT)] * 8], "subject string, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda: {(r["doc_id"], r["subject"]) for r in subjects.subjects_of(df, "doc_id", "text", examples, topics=4, models=1).collect()}
+    want = {(i, "garden" if i % 2 else "law") for i in range(120)}
+    assert found() == want
+
+    class Flat(subjects.LDA):
+        def fit(self, rows):
+            matrix = super().fit(rows).topicsMatrix().toArray()
+            return type("Model", (), {"topicsMatrix": lambda _: type("Matrix", (), {"toArray": lambda _: np.ones_like(matrix)})()})()
+
+    monkeypatch.setattr(subjects, "LDA", Flat)
+    assert len(found() & want) <= 60
 
 
 def test_subjects_where_a_third_of_the_rows_are_copies(spark):
@@ -155,8 +185,9 @@ def test_subjects_where_a_third_of_the_rows_are_copies(spark):
     docs += [(i, copied) for i in range(120, 180)]
     examples = spark.createDataFrame([(s, _prose(rng, w, 6)) for s, w in [("garden", GARDEN), ("law", COURT)] * 8], "subject string, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    how = {"topics": 4, "models": 1, "passes": 2}
-    lex, _ = subjects.fit(df.toDF("_k", "_t"), examples, **how)
-    assert set(GARDEN[:12]) <= set(lex.number) and "the" not in lex.number
+    how = {"topics": 4, "models": 1}
+    once = subjects.cut_texts(df.toDF("_k", "_t")).dropDuplicates(["_h"])
+    terms = set(subjects.fit(once, examples, **how).terms)
+    assert set(GARDEN[:12]) <= terms and "the" not in terms
     got = [(r["doc_id"], r["subject"]) for r in subjects.subjects_of(df, "doc_id", "text", examples, **how).collect()]
     assert sorted(got) == [(i, "garden" if i % 2 or i >= 120 else "law") for i in range(180)]
