@@ -90,10 +90,12 @@ def _order() -> list[Column]:
 
 def _top_pairs(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
     rows = current_pairs(spark, d, "contig1", "contig2", "observedlinks").filter("contig1 is not null and contig2 is not null and observedlinks is not null")
+    # Counted, and read for both kinds of groups.
+    rows = rows.persist()
     # A group's first rows are among the first rows of its contigs, so these meet the groups.
     first = topn.top_n(rows, ["contig1"], _order(), n)
     groups = table(spark, d, "ctg_groups").dropna().distinct()
-    met = first.join(groups, first.contig1 == groups.ctg).select("groupid", "contig1", "contig2", "observedlinks", "pair_id")
+    met = first.join(groups, first.contig1 == groups.ctg).select("groupid", "contig1", "contig2", "observedlinks", "pair_id").persist()
     return topn.top_n(met, ["groupid"], _order(), n)
 
 

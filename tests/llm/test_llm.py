@@ -76,9 +76,22 @@ def test_top_rows_of_heavy_and_light_groups(spark):
     for r in rows:
         by.setdefault(r[0], []).append(r)
     want = {r for rs in by.values() for r in sorted(rs, key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))[:5]}
-    for heavy in (topn.HEAVY, 100):
-        got = topn.top_n(df, ["g"], [F.desc("s"), F.asc("id")], 5, heavy).select("g", "s", "id").collect()
+    for share in (1, topn.SHARE, 0.1):
+        got = topn.top_n(df, ["g"], [F.desc("s"), F.asc("id")], 5, share).select("g", "s", "id").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+    # Ties of all rows of a heavy group, and a heavy group of nulls.
+    same = spark.createDataFrame([(None, 1, i) for i in range(500)] + [("x", 1, 1)], "g string, s long, id long")
+    assert topn.top_n(same, ["g"], [F.desc("s")], 5).groupBy("g").count().orderBy("g").collect() == [(None, 5), ("x", 1)]
+    assert topn.top_n(df.limit(0), ["g"], [F.desc("s")], 5).count() == 0
+
+
+def test_the_largest_group_is_sorted_by_ranges(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, -1, id % 5000) as g", "id % 977 as s", "id")
+    got = topn.top_n(rows, ["g"], [F.desc("s"), F.asc("id")], 5)
+    assert "MapInArrow" in plan(got)
+    want = rows.toPandas().sort_values(["g", "s", "id"], ascending=[True, False, True]).groupby("g").head(5)
+    assert sorted(map(tuple, got.select("g", "id").collect())) == sorted(map(tuple, want[["g", "id"]].to_numpy().tolist()))
 
 
 @pytest.mark.parametrize("capacity", [16, 64])
