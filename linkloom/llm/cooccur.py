@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators import heavy
+
 #: Baskets with more items (after pruning) than this take the detour.
 DIRECT = 1000
 #: Item numbers are counted within so many hash buckets, so that no task numbers all of them.
@@ -97,12 +99,15 @@ def pair_counts(df: DataFrame, scope: str, basket: str, item: str, min_count: in
     large baskets. A pair met only in large ones shares at least min_count of them, so it is found in
     what remains of both lists without their min_count - 1 largest baskets (prefix filter).
     """
-    rows = df.select(F.col(scope).cast("string").alias("_s"), F.col(basket).cast("string").alias("_k"), F.col(item).cast("string").alias("_i")).dropna().distinct()
+    # Read for baskets, for items and for their pairs.
+    rows = df.select(F.col(scope).cast("string").alias("_s"), F.col(basket).cast("string").alias("_k"), F.col(item).cast("string").alias("_i")).dropna().distinct().persist()
     total = rows.select("_s", "_k").distinct().groupBy("_s").agg(F.count("*").alias("_baskets"))
-    support = rows.groupBy("_s", "_i").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_count)
-    support = support.join(total, "_s").filter(F.col("_n") * F.lit(float(min_lift)) <= F.col("_baskets"))
-    items = numbered(support, ["_s", "_i"]).persist()
-    kept = rows.join(items.select("_s", "_i", "_id"), ["_s", "_i"])
+    support = rows.groupBy("_s", "_i").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_count).persist()
+    # An item may stand in most baskets of its scope: the rows of such items meet their numbers by broadcast.
+    often = support.filter(F.col("_n") > rows.count() * heavy.SHARE).select("_s", "_i")
+    items = support.join(total, "_s").filter(F.col("_n") * F.lit(float(min_lift)) <= F.col("_baskets"))
+    items = numbered(items, ["_s", "_i"]).persist()
+    kept = heavy.skew_join(rows, items.select("_s", "_i", "_id"), ["_s", "_i"], heavy.known(often))
     # A basket without a limit could be large: its size is counted before its items are listed.
     sizes = kept.groupBy("_s", "_k").agg(F.count("*").alias("_size")).filter("_size > 1")
     large = sizes.filter(F.col("_size") > direct)
