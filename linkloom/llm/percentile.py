@@ -217,13 +217,15 @@ def summarise(df: DataFrame, keys: list[str], vals: str, k: int = K, buffers: in
     as often as they stand.
     """
     rows = df.select(*keys, F.col(vals).cast("array<long>").alias("vals")).filter(F.size("vals") > 0)
-    first = rows.mapInArrow(_first_level(keys, k, buffers), _schema(rows, keys))
-    return combine(first, keys, k, buffers, fan_in, rows.rdd.getNumPartitions())
+    # Kept, as the number of partial summaries of a key decides the levels of the tree.
+    first = rows.mapInArrow(_first_level(keys, k, buffers), _schema(rows, keys)).persist()
+    return combine(first, keys, k, buffers, fan_in)
 
 
-def combine(parts: DataFrame, keys: list[str], k: int = K, buffers: int = BUFFERS, fan_in: int = FAN_IN, n_parts: int = 1) -> DataFrame:
-    """Merge summaries of partitions, days or runs into one per key."""
+def combine(parts: DataFrame, keys: list[str], k: int = K, buffers: int = BUFFERS, fan_in: int = FAN_IN) -> DataFrame:
+    """Merge summaries of partitions, days or runs (told apart by _part) into one per key, by a tree."""
     schema = _schema(parts, keys)
+    n_parts = (parts.agg(F.max("_part")).first()[0] or 0) + 1
     while n_parts > fan_in:
         up = F.floor(F.col("_part") / fan_in).cast("int")
         spread = parts.withColumn("_up", up).repartition(*keys, "_up").sortWithinPartitions(*keys, "_up").drop("_up")

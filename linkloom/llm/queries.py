@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import heavy
 from ..session import spread, table
 from . import components, cooccur, leaks, packing, percentile, subjects, topn
 
@@ -34,9 +35,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 KEYS = ["libname", "at_ctg"]
 
 
+def _usable(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return table(spark, d, "clm").filter("at_ctg is not null").select("clm_id", *KEYS, *more, F.filter("links", lambda x: x > 0).alias("vals")).filter("size(vals) > 0")
+
+
 def usable_distances(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """One row a clm_id with its usable distances; copies are equal in all that is kept."""
-    return table(spark, d, "clm").filter("at_ctg is not null").select("clm_id", *KEYS, *more, F.filter("links", lambda x: x > 0).alias("vals")).filter("size(vals) > 0").distinct()
+    return _usable(spark, d, *more).distinct()
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +57,10 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p2_by_day(spark: SparkSession, d: str) -> DataFrame:
     """The same from summaries of single run_days that are put together."""
     days = percentile.summarise(usable_distances(spark, d, "run_day"), [*KEYS, "run_day"], "vals")
-    return percentile.quantiles(percentile.combine(days.drop("run_day"), KEYS), KEYS, [10, 50, 90])
+    # Days are the parts that the tree puts together.
+    parts = days.withColumn("_part", F.coalesce(F.datediff("run_day", F.lit("1970-01-01").cast("date")), F.lit(0)))
+    first = parts.agg(F.min("_part")).first()[0] or 0
+    return percentile.quantiles(percentile.combine(parts.withColumn("_part", F.col("_part") - first).drop("run_day"), KEYS), KEYS, [10, 50, 90])
 
 
 #: Percentile and the bin at whose start a case begins.
@@ -60,8 +68,7 @@ CASES = {10: 96, 50: 128, 90: 192}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = usable_distances(spark, d)
-    found = percentile.quantiles(percentile.summarise(rows, KEYS, "vals"), KEYS, list(CASES)).filter("n_values >= 50").persist()
+    found = percentile.quantiles(percentile.summarise(usable_distances(spark, d), KEYS, "vals"), KEYS, list(CASES)).filter("n_values >= 50").persist()
     start = {r[0]: r[1] for r in table(spark, d, "distribution").filter(F.col("bin").isin(list(CASES.values()))).select("bin", "binstart").limit(256).collect()}
     one = lambda p: F.struct(F.lit(p).alias("pct"), F.col(f"p{p}").alias("at"), F.col(f"p{p}_least").alias("least"), F.col(f"p{p}_most").alias("most"), F.lit(start.get(CASES[p])).cast("long").alias("start"))
     cases = found.select(*KEYS, "n_values", F.explode(F.array(*[one(p) for p in CASES])).alias("c")).select(*KEYS, "n_values", "c.*")
@@ -71,7 +78,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     asked = doubt.select(F.col("libname").alias("_l"), F.col("at_ctg").alias("_c"), "pct", "start", "n_values")
     if not doubt.limit(1).count():
         return sure
-    met = rows.join(asked, (rows.libname == asked._l) & (rows.at_ctg == asked._c))
+    # Few cases meet the rows before copies are dropped, so only their rows are shuffled again; a frequent contig isn't one task's.
+    few = asked.limit(heavy.BROADCAST_ROWS + 1).count() <= heavy.BROADCAST_ROWS
+    raw = _usable(spark, d)
+    if few:
+        asked = F.broadcast(asked)
+        only = F.broadcast(asked.select("_l", "_c").distinct())
+        raw = raw.join(only, raw.libname.eqNullSafe(only._l) & (raw.at_ctg == only._c), "left_semi")
+    rows = raw.distinct()
+    met = rows.join(asked, rows.libname.eqNullSafe(asked._l) & (rows.at_ctg == asked._c))
     under = met.groupBy(*KEYS, "pct", "n_values").agg(F.sum(F.size(F.filter("vals", lambda x: x < F.col("start")))).alias("_under"))
     return sure.unionByName(under.filter("_under * 100 < pct * n_values").select(*KEYS, "pct"))
 
