@@ -127,6 +127,51 @@ def test_leaked_passages(spark):
     assert {tuple(r) for r in got.filter("passage").select("doc_id", "item_id").collect()} == want and want
 
 
+def test_grams_are_hashes_of_their_characters():
+    text = "".join(random.Random(1).choice("abcä😀") for _ in range(300))
+    for q in (1, 2, 5, 7, 12):
+        h = leaks._grams(text, q)
+        by = {}
+        for i, x in enumerate(h):
+            by.setdefault(text[i : i + q], set()).add(x)
+        assert len(h) == 301 - q and all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
+
+
+def test_passages_with_edits_are_found(spark):
+    """Two edits in every 13 words at most; one item of very short words doesn't keep others from being found so. Items come in several blocks."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(40)] + [(99, "a b c d e f g h i j k l m n o p")]
+    docs, want = [], set()
+    for i in range(200):
+        w = [word() for _ in range(80)]
+        if i % 2:
+            part = list(" ".join(items[i % 40][1].split()[8:22]))
+            for _ in range(2):
+                at = rng.randrange(len(part))
+                part[at] = rng.choice(["", "z", part[at] + "y"])
+            w[40:40] = ["".join(part)]
+            want.add((i, i % 40))
+        docs.append((i, " ".join(w)))
+    find = lambda **how: {tuple(r) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", **how).select("doc_id", "item_id").collect()}
+    got = find()
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
+    assert find(block=1500) == got
+
+
+def test_hits_in_parts_lose_no_region():
+    rng = random.Random(9)
+    item = " ".join("".join(rng.choice("abc") for _ in range(4)) for _ in range(20))
+    index = leaks.build_index([item, item + " more words here"], 12, 2, None, 13)
+    held = leaks.held_texts([f"{item} other text {item}", "nothing", item], 12)
+    whole = leaks._compare(index, held)
+    leaks_hits, leaks.HITS = leaks.HITS, 7
+    try:
+        assert leaks._compare(index, held).keys() == whole.keys() == {(0, 0), (0, 1), (2, 0), (2, 1)}
+    finally:
+        leaks.HITS = leaks_hits
+
+
 #: Enough terms that none stands in more documents than a term may.
 GARDEN = ["soil", "mulch", *(f"g{a}{b}{c}" for a in "aeiou" for b in "lmn" for c in "aeiu")]
 COURT = ["verdict", "appeal", *(f"c{a}{b}{c}" for a in "aeiou" for b in "rst" for c in "aeiu")]
