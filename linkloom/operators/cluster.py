@@ -1,12 +1,16 @@
-"""Contigs into chromosome groups by average linkage, as rounds of Spark jobs.
+"""Contigs into chromosome groups by average linkage.
 
 Average linkage is reducible: two clusters that are each other's best stay so until they merge. So
 all such pairs merge at once in a round, and the merges sorted by score are those of the greedy
-order. The wanted number of groups is then reached by cutting the sorted merges.
+order. Contigs that no links connect never merge, so connected parts go apart: those of bounded size
+in a task each, larger ones by rounds of joins. The wanted number of groups is then reached by
+cutting the sorted merges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,7 +18,12 @@ from pyspark.sql.window import Window as W
 from .. import config as C
 from ..functions import exprs as E
 from ..session import cut
-from .ordered import prefix_sum
+from .components import connected_components
+from .ordered import prefix_sum, row_numbers
+
+#: Pairs of a connected part that one task holds.
+HELD = 500_000
+MERGES = "a string, b string, score double, size_a long, size_b long, round int"
 
 
 def edge_weights(pairs: DataFrame, max_sites: int) -> DataFrame:
@@ -46,18 +55,62 @@ def skipped(contigs: DataFrame, factors: DataFrame, min_sites: int = C.MIN_RES,
     return rows.select("contig", reason.alias("reason")).filter("reason is not null")
 
 
-def merges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def merges(edges: DataFrame, max_rounds: int = 1000, held: int = HELD) -> DataFrame:
     """a, b, score, size_a, size_b, round: all merges of average linkage down to no positive score.
 
     Clusters are named by their least member. Ties of score go to the bytewise smaller pair of names.
+    Pairs that are left after `max_rounds` are an error.
     """
-    spark = edges.sparkSession
+    rows = cut(edges.filter("a <> b and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("w")))
+    part = connected_components(rows, F.col("a"), F.col("b")).toDF("a", "part")
+    rows = cut(rows.join(part, "a"))
+    # Parts of more than `held` pairs are few.
+    large = [r[0] for r in rows.groupBy("part").agg(F.count("*").alias("_n")).filter(F.col("_n") > held).select("part").collect()]
+    is_large = F.col("part").isin(large) if large else F.lit(False)
+    out = rows.filter(~is_large).groupBy("part").applyInPandas(_part_merges(max_rounds), MERGES)
+    return out.unionByName(_merges_by_joins(rows.filter(is_large).drop("part"), max_rounds)) if large else out
+
+
+def _part_merges(max_rounds: int):
+    """The rounds of `merges` within a part: the same rule, on arrays."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)], return_inverse=True)
+        (a, b), w, size, out = at.reshape(2, -1), rows["w"].to_numpy(), np.ones(len(names), np.int64), []
+        for r in range(max_rounds):
+            if not len(a):
+                break
+            score = w / size[a] / size[b]
+            order = np.lexsort((b, a, -score))
+            a, b, w, score = a[order], b[order], w[order], score[order]
+            # The first row in this order that each cluster stands in is its best.
+            ends, place = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))]
+            best = np.full(len(names), len(a))
+            np.minimum.at(best, ends, place)
+            both = np.flatnonzero((best[a] == np.arange(len(a))) & (best[b] == np.arange(len(a))))
+            x, y = a[both], b[both]
+            out.append(pd.DataFrame({"a": names[x], "b": names[y], "score": score[both], "size_a": size[x], "size_b": size[y], "round": r}))
+            size[x] += size[y]
+            to = np.arange(len(names))
+            to[y] = x
+            a, b = to[a], to[b]
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            code, which = np.unique(a[a != b] * len(names) + b[a != b], return_inverse=True)
+            w, a, b = np.bincount(which, w[a != b], len(code)), code // len(names), code % len(names)
+        else:
+            raise RuntimeError(f"pairs remain after {max_rounds} rounds")
+        return pd.concat(out)
+
+    return run
+
+
+def _merges_by_joins(rows: DataFrame, max_rounds: int) -> DataFrame:
     # One row a pair of clusters: sum of weights; sizes come along.
-    now = cut(edges.filter("a <> b and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("w")).withColumn("sa", F.lit(1).cast("long")).withColumn("sb", F.lit(1).cast("long")))
-    done: list[DataFrame] = []
+    now = cut(rows.select("a", "b", "w").withColumn("sa", F.lit(1).cast("long")).withColumn("sb", F.lit(1).cast("long")))
+    out = rows.sparkSession.createDataFrame([], MERGES)
     for r in range(max_rounds):
         if not now.limit(1).count():
-            break
+            return out
         score = F.col("w") / F.col("sa") / F.col("sb")
         key = F.struct((-score).alias("s"), F.col("a").alias("p"), F.col("b").alias("q"))
         ends = now.select(F.col("a").alias("v"), key.alias("k")).unionByName(now.select(F.col("b").alias("v"), key.alias("k")))
@@ -65,7 +118,7 @@ def merges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         # A pair that both ends hold best is given twice.
         pairs = best.groupBy("k").agg(F.count("*").alias("_c")).filter("_c = 2").select(F.col("k.p").alias("a"), F.col("k.q").alias("b"))
         step = cut(now.join(pairs, ["a", "b"]).select("a", "b", score.alias("score"), F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), F.lit(r).alias("round")))
-        done.append(step)
+        out = out.unionByName(step)
         # Both members take the lesser name and the joint size.
         to = step.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("to"), (F.col("size_a") + F.col("size_b")).alias("size")), F.struct(F.col("b").alias("v"), F.col("a").alias("to"), (F.col("size_a") + F.col("size_b")).alias("size")))))
         left = now.join(to.withColumnsRenamed({"v": "a", "to": "ta", "size": "za"}), "a", "left").join(to.withColumnsRenamed({"v": "b", "to": "tb", "size": "zb"}), "b", "left")
@@ -73,19 +126,15 @@ def merges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         turn = F.col("x") > F.col("y")
         pick = lambda p, q: F.when(turn, F.col(q)).otherwise(F.col(p))  # noqa: B023, E731
         now = cut(named.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("sx", "sy").alias("sa"), pick("sy", "sx").alias("sb"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("sa").alias("sa"), F.max("sb").alias("sb")))
-    if not done:
-        return spark.createDataFrame([], "a string, b string, score double, size_a long, size_b long, round int")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    if now.limit(1).count():
+        raise RuntimeError(f"pairs remain after {max_rounds} rounds")
     return out
 
 
 def cut_merges(steps: DataFrame, n_contigs: int, k: int) -> DataFrame:
     """The merges that are made before there are `k` clusters of two or more, past half of the contigs."""
     # Scores fall with the greedy order; a merge never scores above those it is made of.
-    order = W.orderBy(F.desc("score"), "round", "a", "b")
-    few = steps.withColumn("_n", F.row_number().over(order))
+    few = row_numbers(steps, [F.desc("score"), F.asc("round"), F.asc("a"), F.asc("b")], "_n")
     gain = (F.col("size_a") == 1).cast("int") + (F.col("size_b") == 1).cast("int") - 1
     run = prefix_sum(few, [], "_n", gain, "_before").withColumn("_k", F.col("_before") + gain)
     stop = run.filter((F.col("_n") > n_contigs // 2) & (F.col("_k") == k)).agg(F.min("_n").alias("_stop"))
@@ -94,16 +143,8 @@ def cut_merges(steps: DataFrame, n_contigs: int, k: int) -> DataFrame:
 
 def members(steps: DataFrame) -> DataFrame:
     """contig, cluster (its least member) after some merges; contigs without a merge have no row."""
-    rounds = [r[0] for r in steps.select("round").distinct().orderBy("round").collect()]
-    spark = steps.sparkSession
-    label = spark.createDataFrame([], "contig string, cluster string")
-    for r in rounds:
-        step = steps.filter(F.col("round") == r).select("a", "b")
-        moved = label.join(step.select(F.col("b").alias("cluster"), F.col("a").alias("_to")), "cluster", "left").select("contig", F.coalesce("_to", "cluster").alias("cluster"))
-        fresh = step.select(F.col("a").alias("contig"), F.col("a").alias("cluster")).unionByName(step.select(F.col("b").alias("contig"), F.col("a").alias("cluster")))
-        # The first row of a contig counts: its own cluster may have members already.
-        label = cut(moved.unionByName(fresh).groupBy("contig").agg(F.min("cluster").alias("cluster")))
-    return label
+    # A cluster has its least member's name, so merges link those members: what they connect is a cluster.
+    return connected_components(steps, F.col("a"), F.col("b")).toDF("contig", "cluster")
 
 
 def cluster(edges: DataFrame, n_contigs: int, k: int) -> DataFrame:
@@ -131,4 +172,5 @@ def recover(edges: DataFrame, clusters: DataFrame, skip: DataFrame, ratio: float
 def cluster_sizes(clusters: DataFrame, lengths: DataFrame) -> DataFrame:
     """cluster, n_members, total_length, rank (1: the longest), n_clusters."""
     per = clusters.join(lengths.select("contig", "length"), "contig").groupBy("cluster").agg(F.count("*").alias("n_members"), F.sum("length").alias("total_length"))
-    return per.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total_length"), "cluster"))).withColumn("n_clusters", F.count("*").over(W.partitionBy()))
+    ranked = row_numbers(per, [F.desc("total_length"), F.asc("cluster")], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n_clusters"))))

@@ -19,21 +19,18 @@ SHARE = 1 / 500
 LEAST = 50_000
 
 
-def _lookup(left: DataFrame, n_left: int, key: str, right: DataFrame, right_key: str, often: DataFrame | None) -> DataFrame:
-    """Inner join with a right side that has each key once; `often` holds the left side's counts by key."""
+def _lookup(left: DataFrame, n_left: int, key: str, right: DataFrame, right_key: str, often: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Join with a right side that has each key once; `often` holds the left side's counts by key."""
     right = right.withColumnRenamed(right_key, key)
     floor = max(LEAST, int(n_left * SHARE))
     if often is None or n_left < floor:
-        return left.join(right, key)
+        return left.join(right, key, how)
     # At most n_left / floor <= 1 / SHARE keys.
-    hot = often.filter(F.col("_often") >= floor).select(key)
-    hot_rows = right.join(F.broadcast(hot), key, "left_semi")
-    hot_keys = hot_rows.select(key).collect()
-    if not hot_keys:
-        return left.join(right, key)
-    keys = [r[0] for r in hot_keys]
+    keys = [r[0] for r in often.filter(F.col("_often") >= floor).select(key).collect()]
+    if not keys:
+        return left.join(right, key, how)
     is_hot = F.col(key).isin(keys)
-    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key))
+    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -67,12 +64,13 @@ def connected_components(df: DataFrame, left: Column, right: Column, max_rounds:
         raise RuntimeError(f"edges remain after {max_rounds} rounds")
     if not maps:
         return edges.select(F.col("a").alias("seqname"), F.col("b").alias("groupname"))
-    label = maps[-1].select("v", F.col("rep").alias("root"))
+    label, n = maps[-1].select("v", F.col("rep").alias("root")), 0
     for m in reversed(maps[:-1]):
+        # Half of a giant group's vertices may share one representative.
+        n, often = m.count(), m.groupBy("rep").agg(F.count("*").alias("_often"))
         # A representative without edges left was its group's last vertex.
-        last = label.withColumnRenamed("v", "rep")
-        label = cut(m.join(last, "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
-    n = label.count()
+        label = cut(_lookup(m, n, "rep", label, "v", often, "left").select("v", F.coalesce("root", "rep").alias("root")))
+    n = n or label.count()
     groups = label.groupBy("root").agg(F.min("v").alias("groupname"), F.count("*").alias("_often"))
     named = _lookup(label, n, "root", groups.select("root", "groupname"), "root", groups.select("root", "_often"))
     return named.select(F.col("v").alias("seqname"), "groupname")

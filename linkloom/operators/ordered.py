@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import cut
+
 BLOCK = 1 << 16
 #: Blocks for orders by value.
 PARTS = 1024
@@ -46,26 +48,39 @@ def _search(edges: Column, x: Column, n: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(met(lo, step), lo + step).otherwise(lo))
 
 
+def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their place (from 1) in a total order, sorted by ranges; no task sees all rows.
+
+    Own columns begin with __num. The ranges are written once, so that all that follows sees the same.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("__num_part", F.spark_partition_id()))
+    # One row a range.
+    before = ranged.groupBy("__num_part").agg(F.count("*").alias("__num_c")).withColumn("__num_off", F.coalesce(F.sum("__num_c").over(W.orderBy("__num_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__num_c")
+    place = F.row_number().over(W.partitionBy("__num_part").orderBy(*order))
+    return ranged.withColumn("__num_in", place).join(F.broadcast(before), "__num_part").withColumn(name, F.col("__num_off") + F.col("__num_in")).drop("__num_part", "__num_in", "__num_off")
+
+
 def rank_value(df: DataFrame, value: str, ranks: list[int], n: int) -> dict[int, float]:
-    """Exact values at 0-based ascending ranks of the non-null values, n in number.
+    """Exact values at 0-based ranks of the non-null values, n in number.
 
-    Approximate quantiles bracket each rank, the values below the bracket are counted, and only the
-    bracket is sorted; it widens until it holds the rank.
+    An approximate quantile is a candidate; the values below and equal to it are counted, which tells
+    whether it is the one or on which side of it to go on, among some thousandth of the values.
     """
     out: dict[int, float] = {}
+    x = F.col(value)
     for r in ranks:
-        err = 1e-3
+        rows, left, at = df.filter(x.isNotNull()), n, r
         while True:
-            lo, hi = df.stat.approxQuantile(value, [max(0.0, r / n - 2 * err), min(1.0, (r + 1) / n + 2 * err)], err)
-            lo, hi = (float("-inf") if r / n - 2 * err <= 0 else lo), (float("inf") if (r + 1) / n + 2 * err >= 1 else hi)
-            below, inside = df.agg(F.count_if(F.col(value) < lo), F.count_if((F.col(value) >= lo) & (F.col(value) <= hi))).first()
-            if below <= r < below + inside:
+            v = rows.stat.approxQuantile(value, [(at + 0.5) / left], 1e-3)[0]
+            below, equal = rows.agg(F.count_if(x < v), F.count_if(x == v)).first()
+            if below <= at < below + equal:
                 break
-            err *= 4
-        few = df.filter((F.col(value) >= lo) & (F.col(value) <= hi)).groupBy(value).agg(F.count("*").alias("_c"))
-        w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        hit = few.withColumn("_r", F.sum("_c").over(w)).filter(F.col("_r") > r - below).orderBy(value).limit(1).first()
-        out[r] = float(hit[0])
+            if at < below:
+                rows, left = rows.filter(x < v), below
+            else:
+                rows, left, at = rows.filter(x > v), left - below - equal, at - below - equal
+        out[r] = float(v)
     return out
 
 
