@@ -14,6 +14,13 @@ def good_alignments(reads: DataFrame) -> DataFrame:
     return reads.filter((F.col("mapq") != 0) & (F.col("flag").bitwiseAND(F.lit(C.BAD_FLAGS)) == 0))
 
 
+def length_mismatches(header: DataFrame, contigs: DataFrame) -> DataFrame:
+    """contig, length, other, problem: contigs of an alignment header that the sequences lack (unknown) or have at another length."""
+    h, c = header.select("contig", "length").distinct(), contigs.select("contig", F.col("length").alias("other")).distinct()
+    rows = h.join(c, "contig", "left").withColumn("problem", F.when(F.col("other").isNull(), "unknown").when(F.col("other") != F.col("length"), "length"))
+    return rows.filter("problem is not null").select("contig", "length", "other", "problem")
+
+
 def place_links(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """a, b, apos, bpos, alen, blen of reads whose two ends lie on known contigs, the lower idx first.
 

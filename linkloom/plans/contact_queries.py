@@ -46,6 +46,11 @@ def lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contigs").filter("contig is not null and length > 0").select("idx", "contig", "recounts", "length")
 
 
+def known(spark: SparkSession, d: str) -> DataFrame:
+    """All contigs with a length: those of the assembly, which make tours, and those shared by all libraries, which only have links."""
+    return lengths(spark, d).unionByName(table(spark, d, "shared_contigs").filter("contig is not null and length > 0").select("idx", "contig", "recounts", "length"))
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
     trim = lambda c: F.btrim(F.col(c), F.lit(" \t"))
     rows = table(spark, d, "paf").filter("mapping_quality <> 0 and query_start is not null and target_start is not null")
@@ -53,7 +58,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    return contacts.place_links(reads(spark, d), lengths(spark, d))
+    return contacts.place_links(reads(spark, d), known(spark, d))
 
 
 def tour(spark: SparkSession, d: str) -> DataFrame:
@@ -179,13 +184,13 @@ def q_expected_intra(spark, d):
 def q_expected_inter(spark, d):
     """Expected links of the pairs if they were adjacent."""
     m = model.model_of(table(spark, d, "distribution"))
-    c = lengths(spark, d).groupBy("contig").agg(F.max("length").alias("length"))
+    c = known(spark, d).groupBy("contig").agg(F.max("length").alias("length"))
     rows = pair_totals(spark, d).join(c.toDF("a", "l1"), "a").join(c.toDF("b", "l2"), "b")
     return rows.select("a", "b", "n", r6(model.expected_inter(F.col("l1"), F.col("l2"), m)).alias("expected"))
 
 
 def _density(spark, d):
-    return contacts.link_density(pair_totals(spark, d), lengths(spark, d).groupBy("contig").agg(F.max("length").alias("length")))
+    return contacts.link_density(pair_totals(spark, d), known(spark, d).groupBy("contig").agg(F.max("length").alias("length")))
 
 
 def q_link_density(spark, d):
@@ -217,12 +222,12 @@ def q_decile(spark, d):
 
 
 def _site_pairs(spark, d):
-    c = lengths(spark, d).filter("recounts > 0").groupBy("contig").agg(F.max("recounts").alias("r"))
+    c = known(spark, d).filter("recounts > 0").groupBy("contig").agg(F.max("recounts").alias("r"))
     return pair_totals(spark, d).join(c.toDF("a", "sites_a"), "a").join(c.toDF("b", "sites_b"), "b")
 
 
 def _edges(spark, d):
-    most = lengths(spark, d).filter("recounts > 0").agg(F.max("recounts")).first()[0] or 0
+    most = known(spark, d).filter("recounts > 0").agg(F.max("recounts")).first()[0] or 0
     return cluster.edge_weights(_site_pairs(spark, d), most)
 
 
@@ -231,12 +236,12 @@ def q_edge_weights(spark, d):
 
 
 def q_repeat_factor(spark, d):
-    return cluster.repeat_factors(_edges(spark, d), lengths(spark, d).select("contig").distinct()).select("contig", "links", r6(F.col("factor")).alias("factor"))
+    return cluster.repeat_factors(_edges(spark, d), known(spark, d).select("contig").distinct()).select("contig", "links", r6(F.col("factor")).alias("factor"))
 
 
 def q_skipped(spark, d):
     """Contigs that take no part in clustering, with the reason."""
-    own = lengths(spark, d).groupBy("contig").agg(F.max("recounts").alias("recounts"))
+    own = known(spark, d).groupBy("contig").agg(F.max("recounts").alias("recounts"))
     return cluster.skipped(own, cluster.repeat_factors(_edges(spark, d), own))
 
 
@@ -248,7 +253,7 @@ def q_skip_summary(spark, d):
 def q_normalised(spark, d):
     """Directed weights over the repeat factor of their first contig."""
     e = _edges(spark, d)
-    return cluster.normalised(e, cluster.repeat_factors(e, lengths(spark, d).select("contig").distinct()))
+    return cluster.normalised(e, cluster.repeat_factors(e, known(spark, d).select("contig").distinct()))
 
 
 def _strong(spark, d):
@@ -271,7 +276,7 @@ def _fixed_clusters(spark, d):
 
 
 def q_cluster_sizes(spark, d):
-    own = lengths(spark, d).groupBy("contig").agg(F.max("length").alias("length"))
+    own = known(spark, d).groupBy("contig").agg(F.max("length").alias("length"))
     return cluster.cluster_sizes(_fixed_clusters(spark, d), own).select("cluster", "n_members", "total_length", "rank")
 
 
@@ -285,7 +290,7 @@ def q_recovered(spark, d):
     """Contigs in no cluster that clearly belong to one."""
     both = contacts.both_directions(_edges(spark, d), ao=None, bo=None)
     fixed = _fixed_clusters(spark, d)
-    skip = lengths(spark, d).select("contig").distinct().join(fixed, "contig", "left_anti")
+    skip = known(spark, d).select("contig").distinct().join(fixed, "contig", "left_anti")
     return cluster.recover(both, fixed, skip, 1.5)
 
 
@@ -384,8 +389,12 @@ def q_range_join(spark, d):
     return met.groupBy("seqid", "name").agg(F.count("*").alias("n"), F.min("a").alias("first_a"))
 
 
+def _posteriors(spark, d):
+    return assess.posteriors(assess.oriented_link_lengths(_chrom_links(spark, d), _bed(spark, d)), -0.8)
+
+
 def q_posterior(spark, d):
-    rows = assess.posteriors(assess.oriented_link_lengths(_chrom_links(spark, d), _bed(spark, d)), -0.8)
+    rows = _posteriors(spark, d)
     return rows.select("seqid", "name", "n_links", r6(F.col("log_fwd")).alias("log_fwd"), r6(F.col("log_rev")).alias("log_rev"), r6(F.col("postprob")).alias("postprob"))
 
 
@@ -396,7 +405,7 @@ def q_coverage(spark, d):
 
 
 def _nodes(spark, d):
-    return graph.end_nodes(links(spark, d), lengths(spark, d), 50_000)
+    return graph.end_nodes(links(spark, d), known(spark, d), 50_000)
 
 
 def q_graph_edges(spark, d):
@@ -413,7 +422,7 @@ def q_best_partners(spark, d):
 
 def q_chains(spark, d):
     """Contigs joined end to end by their best partners."""
-    return graph.chains(graph.best_partners(graph.edges(_nodes(spark, d))), lengths(spark, d))
+    return graph.chains(graph.best_partners(graph.edges(_nodes(spark, d))), known(spark, d))
 
 
 def _graph(spark, d):

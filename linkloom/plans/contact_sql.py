@@ -10,13 +10,13 @@ _CUR = "cur as (select * exclude (rn) from (select *, row_number() over (partiti
 _NAMED = _CUR + ", np as (select * from cur where contig1 is not null and contig2 is not null and contig1 <> contig2 and observedlinks > 0)"
 _TOTAL = _NAMED + ", pt as (select least(contig1, contig2) as a, greatest(contig1, contig2) as b, cast(sum(observedlinks) as bigint) as n from np group by all)"
 _CLM = "k as (select distinct clm_id, libname, at_ctg as a, ao, bt_ctg as b, bo, list_filter(links, lambda x: x > 0) as links from clm where at_ctg is not null and bt_ctg is not null and ao in ('+', '-') and bo in ('+', '-') and len(list_filter(links, lambda x: x > 0)) > 0)"
-_LEN = "ln as (select idx, contig, recounts, length from contigs where contig is not null and length > 0), lm as (select contig, max(length) as length from ln group by 1)"
+_LEN = "ln as (select idx, contig, recounts, length from contigs where contig is not null and length > 0), kn as (select * from ln union all select idx, contig, recounts, length from shared_contigs where contig is not null and length > 0), lm as (select contig, max(length) as length from kn group by 1)"
 _LINKS = (
     _LEN
     + """, rd as (select distinct paf_id, trim(query_name, ' ' || chr(9)) as r, query_start as p, trim(target_name, ' ' || chr(9)) as m, target_start as q from paf where mapping_quality <> 0 and query_start is not null and target_start is not null and query_name is not null and target_name is not null),
 lk as (select case when x.idx > y.idx then y.idx else x.idx end as ai, case when x.idx > y.idx then x.idx else y.idx end as bi, case when x.idx > y.idx then m else r end as a, case when x.idx > y.idx then r else m end as b,
   case when x.idx > y.idx then q else p end as apos, case when x.idx > y.idx then p else q end as bpos, case when x.idx > y.idx then y.length else x.length end as alen, case when x.idx > y.idx then x.length else y.length end as blen
-  from rd join ln x on x.contig = r join ln y on y.contig = m)"""
+  from rd join kn x on x.contig = r join kn y on y.contig = m)"""
 )
 _ORI = """, ol as (select ai, bi, a, b, '+' as ao, '+' as bo, alen - apos + bpos as dist from lk where ai <> bi union all select ai, bi, a, b, '+', '-', alen - apos + blen - bpos from lk where ai <> bi
 union all select ai, bi, a, b, '-', '+', apos + bpos from lk where ai <> bi union all select ai, bi, a, b, '-', '-', apos + blen - bpos from lk where ai <> bi)"""
@@ -41,10 +41,10 @@ _EDGES = (
     _TOTAL
     + ", "
     + _LEN
-    + """, rc as (select contig, max(recounts) as r from ln where recounts > 0 group by 1), mx as (select max(r) as m from rc),
+    + """, rc as (select contig, max(recounts) as r from kn where recounts > 0 group by 1), mx as (select max(r) as m from rc),
 ed as (select a, b, n * m * m // (x.r * y.r) as weight from pt join rc x on x.contig = a join rc y on y.contig = b, mx where n * m * m // (x.r * y.r) > 0),
 ee as (select a as contig, b as other, weight from ed union all select b, a, weight from ed),
-fa as (select contig, cast(coalesce(sum(weight), 0) as bigint) as links from (select distinct contig from ln) left join ee using (contig) group by 1),
+fa as (select contig, cast(coalesce(sum(weight), 0) as bigint) as links from (select distinct contig from kn) left join ee using (contig) group by 1),
 ff as (select contig, links, cast(links as double) / (sum(links) over () / cast(count(*) over () as double)) as factor from fa)"""
 )
 _FIX = ", cl as (select ctg as contig, min(groupid) as cluster from ctg_groups where ctg is not null and groupid is not null group by 1)"
@@ -53,7 +53,7 @@ _DIST = _TOTAL + ", " + _LEN + _TOUR + ", ds as (select x.grp, n, abs((y.cum + y
 _DENSITY = _TOTAL + ", " + _LEN + ", en as (select a as contig, n from pt union all select b, n from pt), dn as (select contig, cast(sum(n) as bigint) as links, any_value(length) as length, log10(cast(sum(n) as double) / least(any_value(length), 500000)) as log_density from en join lm using (contig) group by 1)"
 _MAD = _DENSITY + ", md as (select median(log_density) as m from dn), mb as (select m, cast(3.5 as double) / cast(0.67449 as double) * (select median(abs(log_density - m)) from dn, md) as w from md)"
 _CHROM = _LINKS + _TOUR + ", cl2 as (select x.grp as seqid, x.cum + apos as a, y.cum + bpos as b from lk join pl x on x.contig = a join pl y on y.contig = b and y.grp = x.grp), bd as (select grp as seqid, cum as start, cum + size - 1 as fin, contig as name from pl)"
-_FLANK = _LINKS + """, fl as (select contig, length, least(length // 2, 50000) as f from ln),
+_FLANK = _LINKS + """, fl as (select contig, length, least(length // 2, 50000) as f from kn),
 nd as (select a || ':' || case when apos < x.f then 'L' else 'R' end as a, b || ':' || case when bpos < y.f then 'L' else 'R' end as b, x.f as la, y.f as lb from lk join fl x on x.contig = a join fl y on y.contig = b where a <> b and (apos < x.f or apos >= x.length - x.f) and (bpos < y.f or bpos >= y.length - y.f)),
 ge as (select least(a, b) as a, greatest(a, b) as b, count(*) as n, count(*) * 1000000000000 // (max(la) * max(lb)) as weight from nd where la > 0 and lb > 0 group by all)"""
 _INTRA = """coalesce(sum(case when s < length then cast((least(e, length) - s) as double) * (length - (s + least(e, length)) // 2) * linkdensity end), 0)"""
@@ -91,12 +91,12 @@ from l left join bs on s < l1 + l2 group by a, b, n""",
     "q_decile": f"with {_LEN}, r as (select length, row_number() over (order by length, idx) - 1 as k, count(*) over () as n from ln), v as (select length as cutoff from r where k = n // 10) select cutoff, (select count(*) from ln where length = cutoff) as n_equal from v",
     "q_edge_weights": f"with {_EDGES} select a, b, weight from ed",
     "q_repeat_factor": f"with {_EDGES} select contig, links, round(factor, 6) as factor from ff",
-    "q_skipped": f"with {_EDGES}, own as (select contig, coalesce(max(recounts), 0) as r0 from ln group by 1) select contig, case when r0 < 10 then 'few' else 'repeat' end as reason from own left join ff using (contig) where r0 < 10 or factor >= 2",
-    "q_skip_summary": f"with {_EDGES}, own as (select contig, coalesce(max(recounts), 0) as r0 from ln group by 1) select case when r0 < 10 then 'few' else 'repeat' end as reason, count(*) as n from own left join ff using (contig) where r0 < 10 or factor >= 2 group by 1",
+    "q_skipped": f"with {_EDGES}, own as (select contig, coalesce(max(recounts), 0) as r0 from kn group by 1) select contig, case when r0 < 10 then 'few' else 'repeat' end as reason from own left join ff using (contig) where r0 < 10 or factor >= 2",
+    "q_skip_summary": f"with {_EDGES}, own as (select contig, coalesce(max(recounts), 0) as r0 from kn group by 1) select case when r0 < 10 then 'few' else 'repeat' end as reason, count(*) as n from own left join ff using (contig) where r0 < 10 or factor >= 2 group by 1",
     "q_normalised": f"with {_EDGES} select ee.contig as a, other as b, cast(ceil(weight / factor) as bigint) as weight from ee join ff on ff.contig = ee.contig where factor > 0",
     "q_cluster_sizes": f"with {_LEN}{_FIX}, t as (select cluster, count(*) as n_members, cast(sum(length) as bigint) as total_length from cl join lm using (contig) group by 1) select *, cast(row_number() over (order by total_length desc, cluster) as integer) as rank from t",
     "q_linkage": f"with {_LINKAGE} select contig, cluster, round(avg_weight, 6) as avg_weight from av",
-    "q_recovered": f"with {_LINKAGE}, sk as (select distinct contig from ln where contig not in (select contig from cl)), rk as (select *, row_number() over (partition by contig order by avg_weight desc, cluster) as r from av where contig in (select contig from sk)), t as (select contig, max(cluster) filter (r = 1) as cluster, max(avg_weight) filter (r = 1) as one, max(avg_weight) filter (r = 2) as two from rk group by 1) select contig, cluster from t where one >= 1.5 and (two is null or two = 0 or one >= 1.5 * two)",
+    "q_recovered": f"with {_LINKAGE}, sk as (select distinct contig from kn where contig not in (select contig from cl)), rk as (select *, row_number() over (partition by contig order by avg_weight desc, cluster) as r from av where contig in (select contig from sk)), t as (select contig, max(cluster) filter (r = 1) as cluster, max(avg_weight) filter (r = 1) as one, max(avg_weight) filter (r = 2) as two from rk group by 1) select contig, cluster from t where one >= 1.5 and (two is null or two = 0 or one >= 1.5 * two)",
     "q_allelic_label": f"with {_NAMED}, g as (select distinct ctg, groupid from ctg_groups where ctg is not null and groupid is not null) select pair_id, case when exists (select 1 from g x join g y using (groupid) where x.ctg = contig1 and y.ctg = contig2) then 'allelic' else 'ok' end as label from np",
     "q_best_per_group": f"with {_TOTAL}, g as (select distinct ctg, groupid from ctg_groups where ctg is not null and groupid is not null), e2 as (select a as contig, b as ctg, n from pt union all select b, a, n from pt) select contig, groupid, max(n) as best from e2 join g using (ctg) group by all",
     "q_tour_score": f"with {_DIST} select grp, round(-sum(n / dist), 6) as score from ds group by 1",

@@ -2,7 +2,8 @@
 
 A file is cut into byte ranges; each task finds the first block of compressed data in its range,
 then the first plausible record, and reads on to the end of its range. Only the six columns that
-links need are decoded.
+links need are decoded. With the option `header` the references of each file are given instead.
+Files are opened by path, so the executors must have them under the same path (a shared mount).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "ref string, pos bigint, mapq int, flag int, mate_ref string, mate_pos bigint, file string"
+HEADER_SCHEMA = "contig string, length bigint, file string"
 SPLIT = 64 << 20
 ROWS = 50_000
 
@@ -100,16 +102,35 @@ def plausible(data: bytes, i: int, n_ref: int) -> bool:
     return True
 
 
+def files(path: str) -> list[str]:
+    local = path.removeprefix("file://")
+    found = sorted(glob.glob(os.path.join(local, "*.bam")) if os.path.isdir(local) else glob.glob(local))
+    if not found:
+        raise FileNotFoundError(path)
+    return found
+
+
+class BamHeaderReader(DataSourceReader):
+    """The references of each file, a task a file."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        return [Range(p, 0, 0) for p in files(self.path)]
+
+    def read(self, part: Range) -> Iterator[tuple]:
+        with open(part.path, "rb") as f:
+            for name, length in header(f, os.path.getsize(part.path))[0]:
+                yield name, length, part.path
+
+
 class BamReader(DataSourceReader):
     def __init__(self, path: str, split: int) -> None:
         self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        local = self.path.removeprefix("file://")
-        files = sorted(glob.glob(os.path.join(local, "*.bam")) if os.path.isdir(local) else glob.glob(local))
-        if not files:
-            raise FileNotFoundError(self.path)
-        return [Range(p, a, a + self.split) for p in files for a in range(0, max(1, os.path.getsize(p)), self.split)]
+        return [Range(p, a, a + self.split) for p in files(self.path) for a in range(0, max(1, os.path.getsize(p)), self.split)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         size = os.path.getsize(part.path)
@@ -162,10 +183,15 @@ class BamSource(DataSource):
     def name(cls) -> str:
         return "bam"
 
+    def _only_header(self) -> bool:
+        return str(self.options.get("header", "false")).lower() == "true"
+
     def schema(self) -> str:
-        return SCHEMA
+        return HEADER_SCHEMA if self._only_header() else SCHEMA
 
-    def reader(self, schema) -> BamReader:
+    def reader(self, schema) -> DataSourceReader:
+        if self._only_header():
+            return BamHeaderReader(self.options["path"])
         return BamReader(self.options["path"], int(self.options.get("split", SPLIT)))
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,18 @@ from ..functions import exprs as E
 
 
 def _write(rows: DataFrame, path: str, head: str | None = None, one_file: bool = False) -> None:
-    # A heading stands in every part, so that each can be read by itself.
     text = rows.select(F.col(rows.columns[0]).alias("value"))
     if one_file:
         text = text.coalesce(1)
-    if head is None:
-        text.write.mode("overwrite").text(path)
-    else:
-        text.withColumnRenamed("value", head).write.mode("overwrite").option("header", True).option("quote", "\0").option("sep", "\x01").csv(path)
+    if head is not None:
+        # A heading stands in every part, so that each can be read by itself.
+        def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+        text = text.mapInArrow(headed, "value string")
+    text.write.mode("overwrite").text(path)
 
 
 def tabbed(*cols: Column) -> Column:
@@ -34,9 +40,10 @@ def tabbed(*cols: Column) -> Column:
 
 def c_general(x: Column, digits: int = 4) -> Column:
     """%.4g as C writes it: no trailing zeros, exponents outside 1e-4 .. 10^digits."""
-    power = F.floor(F.log10(F.abs(x)))
+    # The exponent is that of the rounded number, as 9999.6 has one more than its logarithm says.
     sci = F.format_string(f"%.{digits - 1}e", x)
     mantissa, exponent = F.split(sci, "e")[0], F.split(sci, "e")[1]
+    power = exponent.cast("int")
     short = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     plain = F.coalesce(*[F.when(power == p, F.format_string(f"%.{max(0, digits - 1 - p)}f", x)) for p in range(-4, digits)], sci)
     return F.when(x == 0, "0").when((power < -4) | (power >= digits), F.concat(short(mantissa), F.lit("e"), exponent)).otherwise(short(plain))
@@ -114,6 +121,11 @@ def write_intra(links: DataFrame, path: str) -> None:
     _write(one.select(tabbed(F.col("contig"), F.array_join(F.transform("_d", lambda x: x.cast("string")), ","))), path)
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Two nodes and a weight with blanks, under a comment."""
+    _write(edges.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("a", "b", "weight")]).alias("value")), path, "% a b weight")
+
+
 def write_posterior(rows: DataFrame, path: str) -> None:
     cols = [F.col(c) for c in ("seqid", "start", "end", "name")]
     _write(rows.orderBy("seqid", "start").select(tabbed(*cols, F.format_string("%.4f", "postprob"))), path, C.HEAD_POSTPROB)

@@ -83,8 +83,12 @@ def read_bed(spark: SparkSession, path: str, seqid: str | None = None) -> DataFr
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name (first word of the heading), seq in one line, and length. Plain or gzip; gzip files aren't split."""
-    rows = spark.read.text(path, lineSep=">").filter("trim(value) <> ''")
+    """name (first word of the heading), seq in one line, and length. Plain or gzip; gzip files aren't split.
+
+    A record begins with `>` at the start of a line; `>` elsewhere is part of a heading or line.
+    """
+    # Only a file's first record still has its mark.
+    rows = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>?", "").alias("value")).filter("value <> ''")
     part = F.split("value", "\r?\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(part, F.lit(1)), F.lit("")), r"\s", "")
     return rows.select(F.split(part[0], r"\s+")[0].alias("name"), seq.alias("seq")).withColumn("length", F.length("seq").cast("long"))
