@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as E
+from ..session import cut
+from .ordered import mad_bounds
 
 
 def good_alignments(reads: DataFrame) -> DataFrame:
@@ -112,3 +114,22 @@ def link_density(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
 def active_contigs(density: DataFrame, low: float, shortest: int = C.MIN_SIZE) -> DataFrame:
     """Contigs that are long enough and not of low density unless they are very long."""
     return density.filter((F.col("length") >= shortest) & ((F.col("log_density") >= low) | (F.col("length") >= 10 * shortest)))
+
+
+def active_by_density(pairs: DataFrame, lengths: DataFrame, shortest: int = C.MIN_SIZE, max_rounds: int = 100) -> DataFrame:
+    """link_density of the contigs that stay when those of low density go, unless very long, until none does.
+
+    With a contig its links go, so densities and their bounds are taken anew; contigs without a link
+    left go too. Rounds that don't end are an error.
+    """
+    rows = cut(pairs.select("a", "b", "n"))
+    for _ in range(max_rounds):
+        density = cut(link_density(rows, lengths))
+        bounds = mad_bounds(density, "log_density", C.OUTLIER_THRESHOLD, C.MAD_SCALE)
+        if bounds is None:
+            return density
+        low = cut(density.filter((F.col("log_density") < bounds[0]) & (F.col("length") < 10 * shortest)).select("contig"))
+        if not low.limit(1).count():
+            return density
+        rows = cut(rows.join(low.toDF("a"), "a", "left_anti").join(low.toDF("b"), "b", "left_anti").select("a", "b", "n"))
+    raise RuntimeError(f"contigs still go after {max_rounds} rounds")

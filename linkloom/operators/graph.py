@@ -54,6 +54,10 @@ def best_partners(graph: DataFrame) -> DataFrame:
     return best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).filter("a < b")
 
 
+def _name(node: str):
+    return F.expr(f"substring({node}, 1, length({node}) - 2)")
+
+
 def chains(partners: DataFrame, contigs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """contig, chain, n_contigs: contigs joined end to end by partner edges; a chain has its least contig's name.
 
@@ -61,15 +65,50 @@ def chains(partners: DataFrame, contigs: DataFrame, max_rounds: int = 100) -> Da
     `max_rounds` contractions are an error. Cycles lose their lightest edge, so every chain has two
     ends.
     """
-    name = lambda c: F.expr(f"substring({c}, 1, length({c}) - 2)")
-    links = cut(partners.select(name("a").alias("x"), name("b").alias("y"), "weight"))
+    return _chains(partners, contigs, max_rounds).select("contig", "chain", "n_contigs", _name("cut_a").alias("cut_x"), _name("cut_b").alias("cut_y"))
+
+
+def _chains(partners: DataFrame, contigs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """contig, chain, n_contigs, and the nodes of the edge that a cycle loses."""
+    links = cut(partners.select("a", "b", _name("a").alias("x"), _name("b").alias("y"), "weight"))
     found = connected_components(links, F.col("x"), F.col("y"), max_rounds).toDF("contig", "_l")
     label = cut(contigs.select("contig").distinct().join(found, "contig", "left").select("contig", F.coalesce("_l", "contig").alias("label")))
     per = label.groupBy("label").agg(F.count("*").alias("n"))
     inside = links.join(label.select(F.col("contig").alias("x"), "label"), "x")
-    count = inside.groupBy("label").agg(F.count("*").alias("_e"), F.min_by(F.struct("x", "y"), F.struct("weight", "x", "y")).alias("_weak"))
-    cycles = count.join(per, "label").filter("_e >= n").select("label", F.col("_weak.x").alias("cut_x"), F.col("_weak.y").alias("cut_y"))
-    return label.join(per, "label").join(cycles, "label", "left").select("contig", F.col("label").alias("chain"), F.col("n").alias("n_contigs"), "cut_x", "cut_y")
+    count = inside.groupBy("label").agg(F.count("*").alias("_e"), F.min_by(F.struct("a", "b"), F.struct("weight", "x", "y", "a", "b")).alias("_weak"))
+    cycles = count.join(per, "label").filter("_e >= n").select("label", F.col("_weak.a").alias("cut_a"), F.col("_weak.b").alias("cut_b"))
+    return label.join(per, "label").join(cycles, "label", "left").select("contig", F.col("label").alias("chain"), F.col("n").alias("n_contigs"), "cut_a", "cut_b")
+
+
+def chain_order(partners: DataFrame, contigs: DataFrame) -> DataFrame:
+    """contig, chain, n_contigs, pos, orientation: where each contig stands in its chain, and which way round.
+
+    A chain begins at that of its two end contigs with the bytewise smaller name; a contig that is
+    passed from L to R has +, a lone contig too. Places come from pointer jumping: each contig looks
+    out of both its ends, and with every round twice as far, so a chain takes as many rounds as its
+    length has binary digits.
+    """
+    whole = cut(_chains(partners, contigs))
+    lost = whole.filter("cut_a is not null").select(F.col("cut_a").alias("a"), F.col("cut_b").alias("b")).distinct()
+    kept = partners.select("a", "b").join(lost, ["a", "b"], "left_anti")
+    other = lambda c: F.concat(_name(c), F.when(F.endswith(c, F.lit(":L")), F.lit(":R")).otherwise(F.lit(":L")))
+    # Who leaves a contig by this end enters the next one, and leaves it by its other end.
+    hop = kept.select(F.col("a").alias("state"), other("b").alias("to")).unionByName(kept.select(F.col("b").alias("state"), other("a").alias("to")))
+    linked = whole.filter("n_contigs > 1").select(F.explode(F.array(F.concat("contig", F.lit(":L")), F.concat("contig", F.lit(":R")))).alias("state"))
+    now = cut(linked.join(hop, "state", "left").select("state", F.coalesce("to", "state").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("d")))
+    for _ in range(64):
+        far = now.select(F.col("state").alias("to"), F.col("to").alias("_t"), F.col("d").alias("_d"))
+        step = cut(now.join(far, "to").select("state", F.col("_t").alias("to"), (F.col("d") + F.col("_d")).alias("d"), "_d"))
+        now = step.drop("_d")
+        if not step.filter("_d > 0").limit(1).count():
+            break
+    else:
+        raise RuntimeError("chains haven't ended after 64 rounds")
+    seen = now.select(_name("state").alias("contig"), F.right("state", F.lit(1)).alias("side"), _name("to").alias("end"), "d")
+    left, right = (seen.filter(F.col("side") == k).select("contig", F.col("end").alias(f"_e{k}"), F.col("d").alias(f"_d{k}")) for k in "LR")
+    ahead = F.coalesce(F.col("_eL") <= F.col("_eR"), F.lit(True))
+    rows = whole.join(left, "contig", "left").join(right, "contig", "left")
+    return rows.select("contig", "chain", "n_contigs", F.coalesce(F.when(ahead, F.col("_dL")).otherwise(F.col("_dR")), F.lit(0)).alias("pos"), F.when(ahead, "+").otherwise("-").alias("orientation"))
 
 
 def modularity(graph: DataFrame, parts: DataFrame) -> DataFrame:
@@ -84,6 +123,21 @@ def modularity(graph: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.agg(F.sum(F.coalesce(F.col("inn"), F.lit(0)) / m - d * d).alias("q"))
 
 
+def best_moves(graph: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, part, gain: the neighbouring part that a node's move to raises modularity most, if it does; ties go to the lesser part."""
+    p = cut(parts.select("node", "part"))
+    both = graph.select("a", "b", F.col("weight").cast("double").alias("w")).unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").cast("double").alias("w")))
+    near = cut(both.join(p.toDF("b", "_p"), "b").groupBy(F.col("a").alias("node"), F.col("_p").alias("part")).agg(F.sum("w").alias("k")))
+    degree = near.groupBy("node").agg(F.sum("k").alias("deg"))
+    own = degree.join(p, "node").join(near.withColumnRenamed("k", "k_own"), ["node", "part"], "left").select("node", F.col("part").alias("own"), "deg", F.coalesce("k_own", F.lit(0.0)).alias("k_own"))
+    size = own.groupBy(F.col("own").alias("part")).agg(F.sum("deg").alias("d"))
+    total = own.agg((F.sum("deg") / 2).alias("m"))
+    rows = near.join(own, "node").filter("part <> own").join(size, "part").join(size.toDF("own", "d_own"), "own").crossJoin(F.broadcast(total))
+    gain = (F.col("k") - F.col("k_own")) / F.col("m") - F.col("deg") * (F.col("d") - F.col("d_own") + F.col("deg")) / (2 * F.col("m") * F.col("m"))
+    best = rows.withColumn("gain", gain).groupBy("node").agg(F.min(F.struct((-F.round("gain", 12)).alias("g"), "part")).alias("m"))
+    return best.select("node", "m.part", (-F.col("m.g")).alias("gain")).filter("gain > 0")
+
+
 def label_propagation(graph: DataFrame, rounds: int = 5) -> DataFrame:
     """node, label after rounds in which every node takes the label with most weight around it.
 

@@ -55,6 +55,43 @@ def tour_score_log(contacts: DataFrame, tour: DataFrame) -> DataFrame:
     return link_distances(contacts, tour).groupBy("grp").agg(F.sum(F.col("n") * (F.ln("dist") - F.ln(E.double(C.LIMIT)))).alias("score"))
 
 
+def true_distances(contacts: DataFrame, tour: DataFrame, elsewhere: int = 100_000_000) -> DataFrame:
+    """The contacts with true_dist: from the start of the earlier contig to the end of the later one, or `elsewhere` in two groups."""
+    at = placed(tour).select("grp", "contig", F.col("cum").cast("long").alias("s"), (F.col("cum") + F.col("size")).cast("long").alias("e"))
+    rows = contacts.join(at.toDF("_ga", "a", "_sa", "_ea"), "a").join(at.toDF("_gb", "b", "_sb", "_eb"), "b")
+    span = F.when(F.col("_sa") <= F.col("_sb"), F.col("_eb") - F.col("_sa")).otherwise(F.col("_ea") - F.col("_sb"))
+    return rows.withColumn("true_dist", F.when(F.col("_ga") == F.col("_gb"), span).otherwise(elsewhere)).drop("_ga", "_sa", "_ea", "_gb", "_sb", "_eb")
+
+
+def split_weak(links: DataFrame, tour: DataFrame, share: tuple[int, int] = (1, 10), reach: int = C.LINK_DIST, samples: int = 1000) -> DataFrame:
+    """grp, pos, contig, strength, piece: the tour in pieces that part where few links cross a join.
+
+    `links` has a, b, apos, bpos; those that span less than `reach` count over the places between
+    their ends. A join is weak if fewer cross it than the element at `share` of what crosses evenly
+    spaced places; joins within `reach` of an end of the path always hold.
+    """
+    at = placed(tour).select("grp", "pos", "contig", "size", "sign", F.col("cum").cast("long").alias("cum"))
+    one = at.select("grp", F.col("contig").alias("a"), *[F.col(c).alias(f"_{c}a") for c in ("cum", "size", "sign")])
+    two = at.select(F.col("grp").alias("_g"), F.col("contig").alias("b"), *[F.col(c).alias(f"_{c}b") for c in ("cum", "size", "sign")])
+    place = lambda k, p: E.path_position(F.col(f"_cum{k}"), F.col(f"_size{k}"), F.col(p), F.col(f"_sign{k}"))
+    rows = links.filter("a <> b").join(one, "a").join(two, "b").filter("grp = _g").select("grp", place("a", "apos").alias("x"), place("b", "bpos").alias("y"))
+    rows = rows.filter(F.abs(F.col("x") - F.col("y")) < reach)
+    events = rows.select("grp", F.inline(F.array(F.struct(F.least("x", "y").alias("at"), F.lit(1).cast("long").alias("d")), F.struct(F.greatest("x", "y").alias("at"), F.lit(-1).cast("long").alias("d")))))
+    total = at.groupBy("grp").agg(F.sum("size").alias("_len"))
+    step = F.greatest(E.int_div(F.col("_len"), F.lit(samples)), F.lit(1))
+    even = total.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1, step)).alias("at"))
+    joins = at.select("grp", F.col("cum").alias("at"))
+    points = even.unionByName(joins).withColumn("d", F.lit(0).cast("long"))
+    steps = events.unionByName(points).groupBy("grp", "at").agg(F.sum("d").alias("d"))
+    crossed = cut(prefix_sum(steps, ["grp"], "at", F.col("d"), "strength", block=1 << 20).select("grp", "at", "strength"))
+    # At most `samples` + 1 places a path.
+    weak = even.join(crossed, ["grp", "at"]).groupBy("grp").agg(F.sort_array(F.collect_list("strength")).alias("_c")).select("grp", F.get("_c", E.int_div(F.size("_c") * share[0], F.lit(share[1])).cast("int")).alias("_weak"))
+    own = at.join(crossed.withColumnRenamed("at", "cum"), ["grp", "cum"]).join(weak, "grp").join(total, "grp")
+    parts = (F.col("cum") >= reach) & (F.col("cum") < F.col("_len") - reach) & (F.col("strength") < F.col("_weak"))
+    flagged = own.withColumn("_new", parts.cast("long"))
+    return prefix_sum(flagged, ["grp"], "pos", F.col("_new"), "_p").select("grp", "pos", "contig", "strength", (F.col("_p") + F.col("_new")).cast("long").alias("piece"))
+
+
 def _oriented(hists: DataFrame, tour: DataFrame) -> DataFrame:
     """Histograms that fit the signs of the tour, in the direction of the tour, with the gap between.
 

@@ -169,3 +169,10 @@ def cross_allelic(edges: DataFrame, groups: DataFrame, whole: int = WHOLE) -> Da
     by_number = lambda m, k: F.coalesce(F.col(m), F.array(F.concat(F.lit("group "), F.col(k).cast("string"))))
     label = named.select("a", "b", E.allele_label(by_number("_ma", "ga"), by_number("_mb", "gb")).alias("label"))
     return e.join(label, ["a", "b"], "left").select("a", "b", "n", F.coalesce("label", F.lit("ok")).alias("label"))
+
+
+def prune(edges: DataFrame, groups: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """a, b, n, label: `allelic` for edges within a group; the others are matched by cross_allelic, which these don't enter."""
+    rows = cut(allelic(edges.select("a", "b", "n"), groups, "a", "b"))
+    within = rows.filter("_allelic").select("a", "b", "n", F.lit("allelic").alias("label"))
+    return cross_allelic(rows.filter("not _allelic"), groups, whole).unionByName(within)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as E
-from ..operators import assess, cluster, contacts, graph, model, order, ordered, prune, release
+from ..operators import assess, cluster, contacts, extract, graph, model, order, ordered, prune, release
 from ..session import spread, table
 from ..sources.text import carry_forward, tag_value
 
@@ -175,6 +175,18 @@ def q_power_law(spark, d):
     return model.fit_power_law(rows, top).select(r6(F.ln("a")).alias("ln_a"), r6(F.col("b")).alias("b"))
 
 
+def q_model(spark, d):
+    """Bins with their densities, by the power law where links are too few."""
+    _, bins = model.make_model(_distances(spark, d), "d", lengths(spark, d), 100)
+    return bins.select("bin", "numlinks", r6(F.log10("linkdensity")).alias("log_density"))
+
+
+def q_extracted(spark, d):
+    """Pairs of contigs by alignments, with the links expected by a model of the links within contigs."""
+    rows = extract.extract(reads(spark, d), known(spark, d)).pairs
+    return rows.select("ai", "bi", "a", "b", "observed", r6(F.col("expected")).alias("expected"))
+
+
 def q_expected_intra(spark, d):
     """Expected links within each contig by the densities of `distribution`."""
     m = model.model_of(table(spark, d, "distribution"))
@@ -211,6 +223,17 @@ def q_active_contigs(spark, d):
     return contacts.active_contigs(rows, bounds[0]).select("contig", "length")
 
 
+def q_pruned_density(spark, d):
+    """Contigs that stay when those of low density go again and again."""
+    rows = contacts.active_by_density(pair_totals(spark, d), known(spark, d).groupBy("contig").agg(F.max("length").alias("length")))
+    return rows.select("contig", "links", r6(F.col("log_density")).alias("log_density"))
+
+
+def q_active_summary(spark, d):
+    """How many contigs are kept for ordering, and their length."""
+    return q_active_contigs(spark, d).agg(F.count("*").alias("n_contigs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
+
+
 def q_l50(spark, d):
     return ordered.l50(lengths(spark, d), "length")
 
@@ -305,8 +328,14 @@ def q_best_per_group(spark, d):
 
 
 def q_cross_allelic(spark, d):
-    """Pairs that a matching of two allele groups leaves out."""
-    return prune.cross_allelic(pair_totals(spark, d), table(spark, d, "ctg_groups"))
+    """Pairs within an allele group, pairs that a matching of two groups leaves out, and the others."""
+    return prune.prune(pair_totals(spark, d), table(spark, d, "ctg_groups"))
+
+
+def q_label_counts(spark, d):
+    """Pairs and links within an allele group, and of contigs in different groups or none."""
+    rows = q_cross_allelic(spark, d).withColumn("kind", F.when(F.col("label") == "allelic", "within").otherwise("between"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_links"))
 
 
 def q_tour_score(spark, d):
@@ -345,6 +374,31 @@ def q_improved_order(spark, d):
     return order.improve_order(pair_totals(spark, d), tour(spark, d)).select("grp", "pos", "contig")
 
 
+def q_sign_gain(spark, d):
+    """Whether the searched orientations score at least as well as those of the tour, by group."""
+    hists, before = _hists(spark, d), tour(spark, d)
+    after = order.improve_signs(hists, before)
+    rows = order.orientation_score(hists, before).toDF("grp", "_b").join(order.orientation_score(hists, after).toDF("grp", "_a"), "grp")
+    return rows.select("grp", F.round("_b", 3).alias("score_before"), (F.col("_a") >= F.col("_b") - 1e-6).alias("not_worse"))
+
+
+def q_true_distance(spark, d):
+    """Mean distance of the better orientation against the true one by the tour."""
+    rows = _best(spark, d).filter("a <> b and n >= 2").select("libname", "a", "b", "n", F.round("mean_dist", 4).alias("inferred"))
+    return order.true_distances(rows, tour(spark, d))
+
+
+def q_split_paths(spark, d):
+    """Tours in pieces, parted where fewer links cross a join than half of the places of the path have."""
+    return order.split_weak(links(spark, d), tour(spark, d), (1, 2))
+
+
+def q_path_extremes(spark, d):
+    """The longest and the shortest path of the tours."""
+    per = tour(spark, d).groupBy("grp").agg(F.sum("size").alias("length"), F.count("*").alias("n"))
+    return per.agg(F.min_by("grp", F.struct((-F.col("length")).alias("l"), "grp")).alias("longest"), F.max("length").alias("most"), F.min_by("grp", F.struct("length", "grp")).alias("shortest"), F.min("length").alias("least"))
+
+
 def q_agp(spark, d):
     lines = release.agp(tour(spark, d))
     return lines.select("object", "object_beg", "object_end", "part", "type", "gap_length", "component", "component_end", "orientation")
@@ -425,6 +479,11 @@ def q_chains(spark, d):
     return graph.chains(graph.best_partners(graph.edges(_nodes(spark, d))), known(spark, d))
 
 
+def q_chain_order(spark, d):
+    """Place and direction of each contig in its chain."""
+    return graph.chain_order(graph.best_partners(graph.edges(_nodes(spark, d))), known(spark, d)).select("contig", "n_contigs", "pos", "orientation")
+
+
 def _graph(spark, d):
     return pair_totals(spark, d).select("a", "b", F.col("n").alias("weight"))
 
@@ -436,6 +495,13 @@ def q_modularity(spark, d):
     return graph.modularity(g, nodes.withColumn("part", F.substring("node", -1, 1))).select(r6(F.col("q")).alias("q"))
 
 
+def q_best_moves(spark, d):
+    """Contigs that would raise modularity in another haplotype than their own."""
+    g = _graph(spark, d)
+    nodes = g.select(F.col("a").alias("node")).unionByName(g.select(F.col("b").alias("node"))).distinct()
+    return graph.best_moves(g, nodes.withColumn("part", F.substring("node", -1, 1))).select("node", "part", F.round("gain", 9).alias("gain"))
+
+
 def q_label_propagation(spark, d):
     return graph.label_propagation(_graph(spark, d), 3)
 

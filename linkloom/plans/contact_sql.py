@@ -37,6 +37,8 @@ de as (select bn.bin, s as binstart, e - s as binsize, coalesce(c, 0) as numlink
 fr as (select *, coalesce(sum(numlinks) over (order by bin desc rows between unbounded preceding and 1 preceding), 0) as far from de),
 tp as (select coalesce(max(case when far >= 100 then bin end), 0) as top from fr)"""
 )
+_SMOOTH = """, pw as (select exp(regr_intercept(ln(linkdensity), ln(cast(binstart as double)))) as pa, regr_slope(ln(linkdensity), ln(cast(binstart as double))) as pb from de, tp where bin < top and numlinks > 0 and linkdensity > 0),
+sm as (select bin, binstart as s, binstart + binsize as e, numlinks, case when bin >= top or coalesce(linkdensity, 0) = 0 then pa * pow(cast(binstart as double), pb) else linkdensity end as linkdensity from de, tp, pw)"""
 _EDGES = (
     _TOTAL
     + ", "
@@ -58,6 +60,16 @@ nd as (select a || ':' || case when apos < x.f then 'L' else 'R' end as a, b ||
 ge as (select least(a, b) as a, greatest(a, b) as b, count(*) as n, count(*) * 1000000000000 // (max(la) * max(lb)) as weight from nd where la > 0 and lb > 0 group by all)"""
 _INTRA = """coalesce(sum(case when s < length then cast((least(e, length) - s) as double) * (length - (s + least(e, length)) // 2) * linkdensity end), 0)"""
 _HALF = "cast(0.5 as double)"
+_PAIR_SUM = """coalesce(sum(cast(
+ case when s < l1 then (least(e, l1) - s) * ((s + least(e, l1)) // 2) else 0 end
+ + case when e >= l1 and s < l2 then (least(e, l2) - greatest(s, l1)) * l1 else 0 end
+ + case when e >= l2 then (least(e, l1 + l2) - greatest(s, l2)) * (l1 + l2 - (greatest(s, l2) + least(e, l1 + l2)) // 2) else 0 end as double) * linkdensity), 0)"""
+#: Rounds of density pruning that the SQL makes; once no contig goes, more change nothing.
+_ROUNDS = 8
+_PRUNED = _TOTAL + ", " + _LEN + ", r0 as (select a, b, n from pt)" + "".join(
+    f", d{k} as materialized (select contig, cast(sum(n) as bigint) as links, any_value(length) as length, log10(cast(sum(n) as double) / least(any_value(length), 500000)) as log_density from (select a as contig, n from r{k} union all select b, n from r{k}) join lm using (contig) group by 1), m{k} as (select median(log_density) as m from d{k}), b{k} as (select m - cast(3.5 as double) / cast(0.67449 as double) * (select median(abs(log_density - m)) from d{k}, m{k}) as low from m{k}), o{k} as (select contig from d{k}, b{k} where log_density < low and length < 100000), r{k + 1} as materialized (select a, b, n from r{k} where a not in (select contig from o{k}) and b not in (select contig from o{k}))"
+    for k in range(_ROUNDS)
+)
 
 ORACLE = {
     "q_site_counts": f"with {_SEQ} select doc_id, cast(len(regexp_extract_all(seq, 'GATC')) + 1 as bigint) as n_gatc, cast(len(regexp_extract_all(seq, 'GA[ACGT]TC|GATC|CATG')) + 1 as bigint) as n_multi, length(seq) as seq_length from sq",
@@ -125,6 +137,37 @@ x as (select ge.a, ge.b, weight, p.t || q.t as u from ge join tt p on p.a = ge.a
 select a, b, cast(weight as bigint) as weight, round(cast(weight as double) / cast(v as double), 6) as confidence from y where v <> 0 and cast(weight as double) / cast(v as double) > 1""",
     "q_best_partners": f"with {_FLANK}, bo as (select a, b, weight from ge union all select b, a, weight from ge), r as (select *, row_number() over (partition by a order by weight desc, b) as rn from bo) select x.a, x.b, cast(x.weight as bigint) as weight from r x join r y on y.a = x.b and y.b = x.a where x.rn = 1 and y.rn = 1 and x.a < x.b",
     "q_modularity": f"with {_TOTAL}, g as (select right(a, 1) as pa, right(b, 1) as pb, n from pt), m as (select sum(n) as m from g), dg as (select p, sum(n) as deg from (select pa as p, n from g union all select pb, n from g) group by 1), i as (select pa as p, sum(n) as inn from g where pa = pb group by 1) select round(sum(coalesce(cast(inn as double), 0) / cast(m as double) - pow(cast(deg as double) / (2 * cast(m as double)), 2)), 6) as q from dg left join i using (p), m",
+    "q_model": f"with {_DENS}{_SMOOTH} select bin, numlinks, round(log10(linkdensity), 6) as log_density from sm",
+    "q_extracted": f"""with {_LINKS}, {_BIN}, dd as (select ai, abs(apos - bpos) as d from lk where ai = bi and abs(apos - bpos) >= 2048), fl as (select coalesce(min_by(c, ai), 0) // 100 as floor from (select ai, count(*) as c from dd group by 1)),
+bc as (select {_OCT} as bin, count(*) as c from dd group by 1), nm as (select bin, cast(coalesce(sum(length - s), 0) as bigint) as norm from bn left join kn on length >= s group by bin),
+de as (select bn.bin, s as binstart, e - s as binsize, coalesce(c, 0) as numlinks, norm as totalsize, case when norm <> 0 then cast(coalesce(c, 0) as double) / norm / (e - s) end as linkdensity from bn left join bc using (bin) join nm using (bin)),
+fr as (select *, coalesce(sum(numlinks) over (order by bin desc rows between unbounded preceding and 1 preceding), 0) as far from de), tp as (select coalesce(max(case when far >= floor then bin end), 0) as top from fr, fl){_SMOOTH},
+p as (select ai, bi, a, b, count(*) as observed from lk where ai <> bi group by all having count(*) >= 3), l as (select p.*, least(x.length, y.length) as l1, greatest(x.length, y.length) as l2 from p join lm x on x.contig = a join lm y on y.contig = b)
+select ai, bi, a, b, observed, round({_PAIR_SUM}, 6) as expected from l left join sm on s < l1 + l2 group by all""",
+    "q_pruned_density": f"with {_PRUNED} select contig, links, round(log_density, 6) as log_density from d{_ROUNDS - 1}",
+    "q_active_summary": f"with {_MAD} select count(*) as n_contigs, cast(coalesce(sum(length), 0) as bigint) as total_length from dn, mb where length >= 10000 and (log_density >= m - w or length >= 100000)",
+    "q_label_counts": f"with {_TOTAL}, g as (select distinct ctg, groupid from ctg_groups where ctg is not null and groupid is not null), al as (select distinct x.ctg as a, y.ctg as b from g x join g y using (groupid)) select case when al.a is null then 'between' else 'within' end as kind, count(*) as n_pairs, cast(sum(n) as bigint) as n_links from pt left join al on al.a = pt.a and al.b = pt.b group by 1",
+    "q_true_distance": f"with {_CLM}, {_LEN}{_TOUR}, s as (select *, list_sum(list_transform(links, lambda x: ln(cast(x as double)))) as sl from k), r as (select *, row_number() over (partition by libname, a, b order by round(sl, 9), clm_id) as rn from s) select libname, r.a, r.b, len(links) as n, round(cast(list_sum(links) as double) / len(links), 4) as inferred, cast(case when x.grp <> y.grp then 100000000 when x.cum <= y.cum then y.cum + y.size - x.cum else x.cum + x.size - y.cum end as bigint) as true_dist from r join pl x on x.contig = r.a join pl y on y.contig = r.b where rn = 1 and r.a <> r.b and len(links) >= 2",
+    "q_split_paths": f"""with {_LINKS}{_TOUR}, c as (select x.grp, x.cum + case when x.sign < 0 then x.size - apos else apos end as p, y.cum + case when y.sign < 0 then y.size - bpos else bpos end as q from lk join pl x on x.contig = a join pl y on y.contig = b and y.grp = x.grp where a <> b),
+iv as (select grp, least(p, q) as s, greatest(p, q) as e from c where abs(p - q) < 1000000), tl as (select grp, cast(sum(size) as bigint) as total from pl group by 1),
+pt as (select grp, unnest(range(0, total, greatest(total // 1000, 1))) as spot from tl), n as (select pt.grp, spot, count(iv.s) filter (s < spot) - count(iv.e) filter (e < spot) as c from pt left join iv on iv.grp = pt.grp group by all),
+w as (select grp, list_sort(list(c))[count(*) // 2 + 1] as weak from n group by 1),
+j as (select pl.grp, pos, contig, cum, count(iv.s) filter (s < cum) - count(iv.e) filter (e < cum) as strength from pl left join iv on iv.grp = pl.grp group by all)
+select grp, pos, contig, strength, cast(sum(case when cum >= 1000000 and cum < total - 1000000 and strength < weak then 1 else 0 end) over (partition by grp order by pos) as bigint) as piece from j join w using (grp) join tl using (grp)""",
+    "q_path_extremes": f"with {_LEN}{_TOUR}, t as (select grp, cast(sum(size) as bigint) as length from tr group by 1) select (select grp from t order by length desc, grp limit 1) as longest, max(length) as most, (select grp from t order by length, grp limit 1) as shortest, min(length) as least from t",
+    "q_chain_order": f"""with recursive {_FLANK}, bo as (select a, b, weight from ge union all select b, a, weight from ge), r as (select *, row_number() over (partition by a order by weight desc, b) as rn from bo), b0 as (select x.a, x.b, x.weight, left(x.a, length(x.a) - 2) as p, left(x.b, length(x.b) - 2) as q from r x join r y on y.a = x.b and y.b = x.a where x.rn = 1 and y.rn = 1),
+cc as (select distinct p as c, p as l from b0 union select cc.c, q from cc join b0 on b0.p = cc.l), lb as (select c, min(l) as l from cc group by 1), sz as (select l, count(*) as nodes from lb group by 1),
+cy as (select l, min_by({{'a': a, 'b': b}}, {{'w': weight, 'p': p, 'q': q, 'a': a, 'b': b}}) as cut, count(*) as links from b0 join lb on lb.c = p where a < b group by 1), ct as (select cut from cy join sz using (l) where links >= nodes),
+bp as (select a, b from b0 where {{'a': least(a, b), 'b': greatest(a, b)}} not in (select cut from ct)),
+hp as (select a as state, left(b, length(b) - 1) || case when right(b, 1) = 'L' then 'R' else 'L' end as nxt from bp), cn as (select distinct contig from kn),
+st as (select contig as head, contig || ':R' as state from cn where contig || ':L' not in (select a from bp) union all select contig, contig || ':L' from cn where contig || ':R' not in (select a from bp)),
+wk as (select head, state as origin, state, 0 as pos from st union all select head, origin, hp.nxt, pos + 1 from wk join hp using (state)),
+z as (select *, left(state, length(state) - 2) as contig, right(state, 1) as side, max(pos) over (partition by origin) + 1 as n_contigs from wk),
+o as (select *, row_number() over (partition by contig order by head, case when side = 'R' then 0 else 1 end) as k from z)
+select contig, cast(n_contigs as bigint) as n_contigs, cast(pos as bigint) as pos, case when side = 'R' then '+' else '-' end as orientation from o where k = 1""",
+    "q_best_moves": f"""with {_TOTAL}, bo as (select a, b, cast(n as double) as w from pt union all select b, a, n from pt), nr as (select a as node, right(b, 1) as part, sum(w) as k from bo group by all), dg as (select node, right(node, 1) as own, sum(k) as deg from nr group by 1), sz as (select own as part, sum(deg) as d from dg group by 1), tm as (select sum(deg) / 2 as m from dg),
+g as (select nr.node, nr.part, (nr.k - coalesce(o.k, 0)) / m - deg * (t.d - f.d + deg) / (2 * m * m) as gain from nr join dg on dg.node = nr.node and nr.part <> own left join nr o on o.node = nr.node and o.part = own join sz t on t.part = nr.part join sz f on f.part = own, tm),
+r as (select *, row_number() over (partition by node order by round(gain, 12) desc, part) as k from g) select node, part, round(gain, 9) as gain from r where k = 1 and round(gain, 12) > 0""",
     "q_label_propagation": f"""with {_TOTAL}, bo as (select a, b, cast(n as double) as w from pt union all select b, a, n from pt), l0 as (select distinct a as node, a as label from bo),
 """
     + ",\n".join(
@@ -137,3 +180,4 @@ select a, b, cast(weight as bigint) as weight, round(cast(weight as double) / ca
     "q_pareto_alpha": f"with {_CLM}, h as (select libname, unnest(links) as d from k) select libname, round(count(*) / (sum(ln(cast(d as double))) - count(*) * ln(cast(2048 as double))), 6) as alpha from h where d >= 2048 group by 1",
     "q_tags": "select paf_id, max(case when tags['cm'].kind = 'i' then try_cast(tags['cm'].val as bigint) end) as cm, max(case when tags['dv'].kind = 'f' then round(cast(try_cast(tags['dv'].val as float) as double), 6) end) as dv, max(tags['tp'].val) as tp from paf where tags is not null group by 1",
 }
+ORACLE["q_sign_gain"] = ORACLE["q_orientation_score"].replace("as score from m", "as score_before, true as not_worse from m")
