@@ -327,50 +327,63 @@ def segment_scores(orders: np.ndarray, size: np.ndarray, links: np.ndarray) -> n
     return -np.where((dist > 0) & (dist <= C.LIMIT), links[:, 2] / np.maximum(dist, 1e-9), 0).sum(1)
 
 
-def mutate(order: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Permute two places, move a tail to the front, move one contig, or turn a stretch round."""
-    n, out = len(order), order.copy()
-    if n < 2:
-        return out
-    i, j = np.sort(rng.choice(n, 2, replace=False))
-    kind = rng.random()
-    if kind < 0.2:
-        out[[i, j]] = out[[j, i]]
-    elif kind < 0.4:
-        out = np.r_[out[j:], out[:j]]
-    elif kind < 0.7:
-        rest = np.delete(out, j)
-        out = np.insert(rest, i, order[j])
-    else:
-        out[i : j + 1] = out[i : j + 1][::-1]
-    return out
-
-
-def turn_round(order: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Turn a stretch round with each of its pieces."""
-    i, j = np.sort(rng.integers(0, k, 2))
-    out = order.copy()
-    out[i : j + 1] = (out[i : j + 1][::-1] + k) % (2 * k)
-    return out
+def moved(orders: np.ndarray, kind: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+    """Orders after one move each, i <= j: 0 two places swapped, 1 the tail from j put in front, 2 piece j put before i, 3 the stretch i..j turned over, 4 that with each of its pieces turned round."""
+    t, i, j, kind = np.arange(k)[None, :], i[:, None], j[:, None], kind[:, None]
+    inside = (t >= i) & (t <= j)
+    swap = np.where(t == i, j, np.where(t == j, i, t))
+    put = np.where(t == i, j, np.where((t > i) & (t <= j), t - 1, t))
+    over = np.where(inside, i + j - t, t)
+    out = np.take_along_axis(orders, np.where(kind == 0, swap, np.where(kind == 1, (t + j) % k, np.where(kind == 2, put, over))), 1)
+    return np.where((kind == 4) & inside, (out + k) % (2 * k), out)
+
+
+def descend(order: np.ndarray, size: np.ndarray, links: np.ndarray, some: int = 512) -> np.ndarray:
+    """All moves are tried in a fixed mixed order, `some` at a time, and the best of these is made if it gains; ends when no move at all does."""
+    k = len(size)
+    i, j = np.triu_indices(k)
+    kind = np.repeat(np.arange(5), len(i))
+    i, j = np.tile(i, 5), np.tile(j, 5)
+    use = np.flatnonzero((i < j) | (kind == 4))
+    use = np.random.default_rng(0).permutation(use)
+    parts = np.array_split(use, -(-len(use) // some)) if len(use) else []
+    now, at, idle = segment_scores(order[None, :], size, links)[0], 0, 0
+    while idle < len(parts):
+        m = parts[at % len(parts)]
+        new = moved(np.broadcast_to(order, (len(m), k)), kind[m], i[m], j[m], k)
+        score = segment_scores(new, size, links)
+        b = int(np.argmin(score))
+        at, idle = at + 1, idle + 1
+        if score[b] < now - 1e-12 * abs(now):
+            order, now, idle = new[b], score[b], 0
+    return order
 
 
 def search(size: np.ndarray, links: np.ndarray, seed: int, people: int, stale: int, rate: float = C.MUTA_PROB) -> np.ndarray:
-    """A genetic search by mutation alone: tournaments of three, the best one stays; ends after `stale` turns without gain."""
-    rng = np.random.default_rng(seed)
-    pool = np.tile(np.arange(len(size)), (people, 1))
+    """A genetic search by mutation alone, from the order that no single move betters: tournaments of three, the best one stays; ends after `stale` turns without gain."""
+    rng, k = np.random.default_rng(seed), len(size)
+    at = descend(np.arange(k), size, links)
+    pool = np.tile(at, (people, 1))
     score = segment_scores(pool, size, links)
-    best, at, idle = score[0], pool[0], 0
+    best, idle = score[0], 0
     while idle < stale:
         picks = rng.integers(0, people, (people, 3))
-        pool = pool[picks[np.arange(people), score[picks].argmin(1)]]
-        for i in np.flatnonzero(rng.random(people) < max(rate, 0.5)):
-            pool[i] = mutate(pool[i], rng) if rng.random() < 0.7 else turn_round(pool[i], len(size), rng)
-        pool[0] = at
-        score = segment_scores(pool, size, links)
-        k = int(np.argmin(score))
-        idle = 0 if score[k] < best - 1e-15 else idle + 1
-        if score[k] < best:
-            best, at = score[k], pool[k].copy()
+        take = picks[np.arange(people), score[picks].argmin(1)]
+        pool, score = pool[take], score[take]
+        some = np.flatnonzero(rng.random(people) < max(rate, 0.5))
+        ends = np.sort(rng.integers(0, k, (len(some), 2)), 1)
+        # Swaps 14 %, tails 14 %, single pieces 21 %, stretches 21 %, turned stretches 30 %.
+        kind = np.searchsorted([0.14, 0.28, 0.49, 0.7], rng.random(len(some)), side="right")
+        pool[some] = moved(pool[some], kind, ends[:, 0], ends[:, 1], k)
+        score[some] = segment_scores(pool[some], size, links)
+        pool[0], score[0] = at, best
+        m = int(np.argmin(score))
+        gains = score[m] < best - 1e-12 * abs(best)
+        idle = 0 if gains else idle + 1
+        if gains:
+            at = descend(pool[m].copy(), size, links)
+            pool[m], score[m] = at, segment_scores(at[None, :], size, links)[0]
+            best = score[m]
     return at
 
 
@@ -382,6 +395,7 @@ def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT,
     place or turn round, and so on with longer ones, until one stretch holds the whole group; links
     of longer pieces count at the mean of their places. A turn counts for a group only if the score
     of the whole group gets better. Ends when no group got better since all of these were last tried.
+    A stretch that a search left as it was isn't searched again until it changes.
     """
     now = cut(tour.select("grp", "pos", "contig", "size"))
     links = cut(contacts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")))
@@ -391,6 +405,7 @@ def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT,
         kinds += [(kinds[-1][0] * segment, k) for k in (0, 1)]
     old_s = cut(tour_score(links, now))
     schema = T.StructType([now.schema["grp"], *T.StructType.fromDDL("unit long, first long, start long, len long, turned boolean").fields])
+    settled = now.sparkSession.createDataFrame([], "_sig long")
     turn = idle = 0
     while idle < len(kinds):
         piece, half = kinds[turn % len(kinds)]
@@ -406,10 +421,16 @@ def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT,
         mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
         ends = ends.groupBy("grp", "unit", "other").agg(F.sum("n").cast("double").alias("n"), mean("o"), mean("p"))
         ends = ends.groupBy("grp", "unit").agg(F.collect_list(F.array(F.col("other").cast("double"), "n", "o", "p")).alias("links"))
-        found = units.join(ends, ["grp", "unit"], "left").groupBy("grp", "seg").applyInPandas(_rearrange(seed + turn, people, stale), schema)
+        # All that the search of a stretch depends on: its contigs, their places and the kind of pieces.
+        sig = parts.groupBy("grp", "seg").agg(F.bit_xor(F.xxhash64(F.lit(piece), F.lit(half), "grp", "pos", "contig")).alias("_sig"))
+        asked = cut(sig.join(settled, "_sig", "left_anti"))
+        found = units.join(asked.select("grp", "seg"), ["grp", "seg"]).join(ends, ["grp", "unit"], "left").groupBy("grp", "seg").applyInPandas(_rearrange(seed + turn, people, stale), schema)
         inside = F.col("pos") - F.col("first")
-        new = parts.join(found, ["grp", "unit"]).select("grp", (F.col("start") + F.when(F.col("turned"), F.col("len") - 1 - inside).otherwise(inside)).alias("pos"), "contig", "size")
-        new = cut(new)
+        place = F.coalesce(F.col("start") + F.when(F.col("turned"), F.col("len") - 1 - inside).otherwise(inside), F.col("pos"))
+        new = cut(parts.join(found, ["grp", "unit"], "left").select("grp", place.alias("pos"), "contig", "size", "seg", (place != F.col("pos")).alias("_moved")))
+        stay = new.groupBy("grp", "seg").agg(F.bool_or("_moved").alias("_m")).filter("not _m").select("grp", "seg")
+        settled = cut(settled.unionByName(asked.join(stay, ["grp", "seg"]).select("_sig")))
+        new = new.select("grp", "pos", "contig", "size")
         new_s = cut(tour_score(links, new).withColumnRenamed("score", "_new"))
         # Gains that rounding alone could make don't count.
         better = cut(old_s.join(new_s, "grp").filter("_new < score - 1e-12 * abs(score)").select("grp", "_new"))

@@ -116,10 +116,68 @@ def test_segments_change_place(spark):
     assert got in (sorted(got), sorted(got)[::-1])
 
 
-def test_search_takes_the_population_and_patience_of_the_reference():
+def test_moves_are_rearrangements_and_none_is_left_that_gains():
+    rng = np.random.default_rng(1)
+    k = 9
+    size, n = rng.integers(10, 99, k).astype(float), 20
+    a = rng.integers(0, k, n)
+    b = (a + rng.integers(1, k, n)) % k
+    links = np.c_[np.minimum(a, b), np.maximum(a, b), rng.integers(1, 9, n), size[np.minimum(a, b)] / 3, size[np.maximum(a, b)] / 5]
+    best = order.descend(np.arange(k), size, links)
+    value = lambda x: order.segment_scores(np.array([x]), size, links)[0]
+    assert sorted(best % k) == list(range(k)) and value(best) <= value(np.arange(k))
+    for i, j in itertools.combinations_with_replacement(range(k), 2):
+        for kind in range(5):
+            new = order.moved(best[None, :], np.array([kind]), np.array([i]), np.array([j]), k)[0]
+            assert sorted(new % k) == list(range(k)) and value(new) >= value(best) - 1e-9 * abs(value(best))
+    found = order.search(size, links, 3, 20, 50)
+    assert sorted(found % k) == list(range(k)) and value(found) <= value(best)
+
+
+def test_search_takes_the_stated_population_and_patience():
     import inspect
 
     from linkloom import config as C
 
     how = inspect.signature(order.improve_order).parameters
     assert (how["people"].default, how["stale"].default) == (C.NPOP, C.NGEN) == (100, 5000)
+
+
+def test_paths_split_where_few_links_cross(spark):
+    tour = spark.createDataFrame([("g", i, f"c{i}", 100, -1 if i == 2 else 1) for i in range(8)], "grp string, pos long, contig string, size long, sign int")
+    links = [(f"c{i}", f"c{i + 1}", 90, 10) for i in range(7) for _ in range(1 if i == 3 else 6)]
+    got = order.split_weak(spark.createDataFrame(links, "a string, b string, apos long, bpos long"), tour, (1, 2), reach=300, samples=800).collect()
+    pieces = {r["contig"]: r["piece"] for r in got}
+    place = lambda i, p: 100 * i + (100 - p if i == 2 else p)
+    spans = [sorted((place(int(a[1:]), x), place(int(b[1:]), y))) for a, b, x, y in links]
+    crossed = lambda p: sum(s < p for s, _ in spans) - sum(e < p for _, e in spans)
+    weak = sorted(crossed(p) for p in range(800))[400]
+    want, piece = {}, 0
+    for i in range(8):
+        piece += 300 <= 100 * i < 500 and crossed(100 * i) < weak
+        want[f"c{i}"] = piece
+    assert pieces == want and {r["contig"]: r["strength"] for r in got} == {f"c{i}": crossed(100 * i) for i in range(8)}
+
+
+def test_places_along_chains_and_cycles(spark):
+    rng = random.Random(3)
+    names = [f"t{i:03}" for i in range(200)]
+    rng.shuffle(names)
+    turned = {c: rng.random() < 0.5 for c in names}
+    out = lambda c: f"{c}:{'L' if turned[c] else 'R'}"
+    into = lambda c: f"{c}:{'R' if turned[c] else 'L'}"
+    partners = [(*sorted((out(a), into(b))), 5) for a, b in itertools.pairwise(names)] + [("r0:R", "r1:L", 4), ("r1:R", "r2:L", 2), ("r0:L", "r2:R", 3)]
+    contigs = spark.createDataFrame([(c,) for c in [*names, "r0", "r1", "r2", "alone"]], "contig string")
+    got = {r["contig"]: (r["pos"], r["orientation"]) for r in graph.chain_order(spark.createDataFrame(partners, "a string, b string, weight long"), contigs).collect()}
+    order_ = names if names[0] < names[-1] else names[::-1]
+    plus = lambda c: turned[c] != (order_ is names)
+    assert {c: got[c] for c in names} == {c: (i, "+" if plus(c) else "-") for i, c in enumerate(order_)}
+    # The ring opens between r1 and r2, its lightest join.
+    assert [got[c] for c in ("r1", "r0", "r2", "alone")] == [(0, "-"), (1, "-"), (2, "-"), (0, "+")]
+
+
+def test_edges_within_a_group_do_not_enter_the_matching(spark):
+    groups = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), (None, 2), ("d", None)], "ctg string, groupid long")
+    edges = spark.createDataFrame([("a", "b", 9), ("a", "c", 5), ("b", "c", 4), ("c", "d", 3)], "a string, b string, n long")
+    got = {(r["a"], r["b"]): r["label"] for r in prune.prune(edges, groups).collect()}
+    assert got == {("a", "b"): "allelic", ("a", "c"): "ok", ("b", "c"): "cross-allelic(a,b|c)", ("c", "d"): "ok"}
