@@ -64,7 +64,8 @@ def _heavy_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     """Per library and at_ctg: rows, usable distances, their sum and the longest one."""
-    return heavy.skew_aggregate(clm_keys(spark, d), KEYS, _partial(), _final(), _heavy_contigs(spark, d))
+    # Kept: heavy and other keys are read apart.
+    return heavy.skew_aggregate(clm_keys(spark, d).persist(), KEYS, _partial(), _final(), _heavy_contigs(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ def p7_density(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "contigs").select("contig", "length").unionByName(table(spark, d, "shared_contigs").select("contig", "length"))
         .filter("contig is not null and length > 0").groupBy(F.col("contig").alias("at_ctg")).agg(F.max("length").alias("ctg_length"))
     )
-    joined = heavy.skew_join(clm_keys(spark, d), lengths, ["at_ctg"], hot)
+    joined = heavy.skew_join(clm_keys(spark, d).persist(), lengths, ["at_ctg"], hot)
     done = heavy.skew_aggregate(joined, ["at_ctg"], [*_partial(), F.max("ctg_length").alias("ctg_length")], [*_final(), F.max("ctg_length").alias("ctg_length")], hot)
     return done.select("at_ctg", "n_rows", "n_usable", "ctg_length", F.round(F.col("n_usable") * 1000.0 / F.col("ctg_length"), 6).alias("per_kb"))
 
