@@ -165,6 +165,14 @@ def exponential(x: Column, rate: float) -> Column:
     return double(rate) * F.exp(double(-rate) * x)
 
 
+def uniform_pareto(x: Column, alpha: float, least: float, span: float) -> Column:
+    """Density of the sum of a place even on 0..span and a Pareto length: where a link that starts anywhere on a contig ends. 0 below `least`."""
+    z = x.cast("double")
+    tail = lambda t: F.pow(double(least) / t, double(alpha))
+    far = F.when(z > least + span, tail(z - double(span))).otherwise(double(1))
+    return F.when(z < least, double(0)).otherwise((far - tail(z)) / double(span))
+
+
 def pareto_alpha(x: Column, least: float) -> Column:
     """Maximum-likelihood exponent of a Pareto law, an aggregate."""
     return F.count(x) / (F.sum(F.ln(x.cast("double"))) - F.count(x) * F.ln(double(least)))

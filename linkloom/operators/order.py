@@ -7,6 +7,7 @@ change bounded segments, or single contigs that don't touch each other, in paral
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,12 @@ from .. import config as C
 from ..functions import exprs as E
 from ..session import cut
 from .components import connected_components
-from .ordered import prefix_sum
+from .ordered import group_medians, prefix_sum
 
 #: Contigs of a segment that one task rearranges.
 SEGMENT = 64
+#: Pieces of which all orders are tried, 46,080 at most, instead of a search.
+TRIED = 6
 #: Pairs of a connected part whose strandedness matrix one task holds, and entries of its vector that count as 0.
 HELD, ZERO = 500_000, 1e-9
 
@@ -55,6 +58,50 @@ def tour_score_log(contacts: DataFrame, tour: DataFrame) -> DataFrame:
     return link_distances(contacts, tour).groupBy("grp").agg(F.sum(F.col("n") * (F.ln("dist") - F.ln(E.double(C.LIMIT)))).alias("score"))
 
 
+def leave_one_out(contacts: DataFrame, tour: DataFrame, limit: int = C.LIMIT, block: int = 256) -> DataFrame:
+    """grp, pos, contig, size, gain: how much of the sum of links over distance a group owes to each contig.
+
+    Without a contig its own links are lost, and the links over it get shorter by its size, which may
+    bring them under the limit; so the gain of a contig that only keeps others apart is negative. A
+    contact meets the contigs it spans in blocks of places, whose contigs are expanded and summed
+    within the task. Contigs without a contact have gain 0. `contacts` holds each pair once.
+    """
+    at = cut(placed(tour.select("grp", "pos", "contig", "size")))
+    most = at.agg(F.max("size")).first()[0] or 0
+    rows = _ends(contacts.select("a", "b", "n"), at, ["mid"]).select("grp", F.least("pos_a", "pos_b").alias("p"), F.greatest("pos_a", "pos_b").alias("q"), "n", F.abs(F.col("mid_b") - F.col("mid_a")).alias("dist"))
+    part = lambda dist: F.when((dist > 0) & (dist <= limit), F.col("n") / dist).otherwise(E.double(0))
+    rows = cut(rows.filter(F.col("dist") <= limit + most))
+    own = rows.select("grp", F.explode(F.array("p", "q")).alias("pos"), part(F.col("dist")).alias("d"))
+    blocks = at.groupBy("grp", F.floor(F.col("pos") / block).alias("_blk")).agg(F.collect_list(F.struct("pos", "size")).alias("_held"))
+    over = rows.filter("q - p > 1").select("*", F.explode(F.sequence(F.floor((F.col("p") + 1) / block), F.floor((F.col("q") - 1) / block))).alias("_blk"))
+    over = over.join(blocks, ["grp", "_blk"]).select("grp", "p", "q", "n", "dist", F.inline("_held")).filter("pos > p and pos < q")
+    over = over.select("grp", "pos", (part(F.col("dist")) - part(F.col("dist") - F.col("size"))).alias("d"))
+    total = own.unionByName(over).groupBy("grp", "pos").agg(F.sum("d").alias("gain"))
+    return at.select("grp", "pos", "contig", "size").join(total, ["grp", "pos"], "left").fillna(0.0, ["gain"])
+
+
+def prune_tour(contacts: DataFrame, tour: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """grp, pos, contig, size, log_gain: the tour without contigs that add far less than the others of their group, until none does.
+
+    Far less is a log10 of the gain (-9 for 1e-9 and less) under the median of the group less 3.5 /
+    0.67449 median deviations. Places are dense again after each round. Rounds that don't end are an
+    error.
+    """
+    now, links = tour.select("grp", "pos", "contig", "size"), cut(contacts.select("a", "b", "n"))
+    for _ in range(max_rounds):
+        gain = leave_one_out(links, now).withColumn("log_gain", F.when(F.col("gain") > 1e-9, F.log10("gain")).otherwise(E.double(-9)))
+        gain = cut(gain.drop("gain"))
+        mid = cut(group_medians(gain, ["grp"], "log_gain").toDF("grp", "_m"))
+        off = gain.join(mid, "grp").withColumn("_d", F.abs(F.col("log_gain") - F.col("_m")))
+        low = mid.join(group_medians(off, ["grp"], "_d").toDF("grp", "_mad"), "grp").select("grp", (F.col("_m") - C.OUTLIER_THRESHOLD / C.MAD_SCALE * F.col("_mad")).alias("_low"))
+        rows = cut(gain.join(low, "grp"))
+        if not rows.filter("log_gain < _low").limit(1).count():
+            return gain
+        kept = rows.filter("log_gain >= _low").select("grp", F.col("pos").alias("_p"), "contig", "size")
+        now = cut(prefix_sum(kept, ["grp"], "_p", F.lit(1), "pos").select("grp", F.col("pos").cast("long").alias("pos"), "contig", "size"))
+    raise RuntimeError(f"contigs still go after {max_rounds} rounds")
+
+
 def true_distances(contacts: DataFrame, tour: DataFrame, elsewhere: int = 100_000_000) -> DataFrame:
     """The contacts with true_dist: from the start of the earlier contig to the end of the later one, or `elsewhere` in two groups."""
     at = placed(tour).select("grp", "contig", F.col("cum").cast("long").alias("s"), (F.col("cum") + F.col("size")).cast("long").alias("e"))
@@ -359,9 +406,22 @@ def descend(order: np.ndarray, size: np.ndarray, links: np.ndarray, some: int =
     return order
 
 
+def best_of_all(size: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The best of all orders and turns of a few pieces; the given order if none gains."""
+    k = len(size)
+    orders = np.array(list(itertools.permutations(range(k))))
+    turns = np.array(list(itertools.product((0, k), repeat=k)))
+    every = (orders[:, None, :] + turns[None, :, :]).reshape(-1, k)
+    score = segment_scores(every, size, links)
+    m = int(np.argmin(score))
+    return every[m if score[m] < score[0] - 1e-12 * abs(score[0]) else 0]
+
+
 def search(size: np.ndarray, links: np.ndarray, seed: int, people: int, stale: int, rate: float = C.MUTA_PROB) -> np.ndarray:
-    """A genetic search by mutation alone, from the order that no single move betters: tournaments of three, the best one stays; ends after `stale` turns without gain."""
+    """A genetic search by mutation alone, from the order that no single move betters: tournaments of three, the best one stays; ends after `stale` turns without gain. Of up to TRIED pieces all orders are tried."""
     rng, k = np.random.default_rng(seed), len(size)
+    if k <= TRIED:
+        return best_of_all(size, links)
     at = descend(np.arange(k), size, links)
     pool = np.tile(at, (people, 1))
     score = segment_scores(pool, size, links)
@@ -370,7 +430,7 @@ def search(size: np.ndarray, links: np.ndarray, seed: int, people: int, stale: i
         picks = rng.integers(0, people, (people, 3))
         take = picks[np.arange(people), score[picks].argmin(1)]
         pool, score = pool[take], score[take]
-        some = np.flatnonzero(rng.random(people) < max(rate, 0.5))
+        some = np.flatnonzero(rng.random(people) < rate)
         ends = np.sort(rng.integers(0, k, (len(some), 2)), 1)
         # Swaps 14 %, tails 14 %, single pieces 21 %, stretches 21 %, turned stretches 30 %.
         kind = np.searchsorted([0.14, 0.28, 0.49, 0.7], rng.random(len(some)), side="right")
@@ -396,6 +456,11 @@ def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT,
     of longer pieces count at the mean of their places. A turn counts for a group only if the score
     of the whole group gets better. Ends when no group got better since all of these were last tried.
     A stretch that a search left as it was isn't searched again until it changes.
+
+    `stale` is the patience of a group in turns without gain, as if one search went over all of it. Its
+    stretches have it by their shares of the group's pieces, so that a contig is tried as often in a
+    long group as in a short one cut into as many searches; whatever the share, a search only begins
+    and ends where no single move gains.
     """
     now = cut(tour.select("grp", "pos", "contig", "size"))
     links = cut(contacts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")))
@@ -403,15 +468,21 @@ def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT,
     kinds = [(1, 0), (1, 1)]
     while kinds[-1][0] * segment < longest:
         kinds += [(kinds[-1][0] * segment, k) for k in (0, 1)]
+    # The last uncut stretches hold whole groups, so cutting these elsewhere only leaves something out.
+    kinds.pop()
     old_s = cut(tour_score(links, now))
     schema = T.StructType([now.schema["grp"], *T.StructType.fromDDL("unit long, first long, start long, len long, turned boolean").fields])
     settled = now.sparkSession.createDataFrame([], "_sig long")
+    # The rows are few and the searches long: by their bytes they would be put into one task.
+    tasks = 4 * now.sparkSession.sparkContext.defaultParallelism
     turn = idle = 0
     while idle < len(kinds):
         piece, half = kinds[turn % len(kinds)]
         unit = F.floor(F.col("pos") / piece).cast("long")
         parts = placed(now).withColumn("unit", unit).withColumn("seg", F.floor((unit + half * (segment // 2)) / segment).cast("long"))
         units = parts.groupBy("grp", "seg", "unit").agg(F.sum("size").alias("size"), F.count("*").alias("len"), F.min("pos").alias("pos"), F.min("cum").alias("at"))
+        # Numbers of pieces follow from the places, which are dense.
+        whole = now.groupBy("grp").agg((F.floor(F.max("pos") / piece) + 1).cast("long").alias("n_units"))
         parts = cut(parts.join(units.select("grp", "unit", "at"), ["grp", "unit"]).withColumn("off", F.col("mid") - F.col("at")))
         # Contacts within a segment, gathered at the first of their pieces.
         ends = _ends(links, parts, ["seg", "unit", "off"]).filter("seg_a = seg_b and unit_a <> unit_b")
@@ -424,7 +495,10 @@ def improve_order(contacts: DataFrame, tour: DataFrame, segment: int = SEGMENT,
         # All that the search of a stretch depends on: its contigs, their places and the kind of pieces.
         sig = parts.groupBy("grp", "seg").agg(F.bit_xor(F.xxhash64(F.lit(piece), F.lit(half), "grp", "pos", "contig")).alias("_sig"))
         asked = cut(sig.join(settled, "_sig", "left_anti"))
-        found = units.join(asked.select("grp", "seg"), ["grp", "seg"]).join(ends, ["grp", "unit"], "left").groupBy("grp", "seg").applyInPandas(_rearrange(seed + turn, people, stale), schema)
+        if not (n := asked.count()):
+            turn, idle = turn + 1, idle + 1
+            continue
+        found = units.join(asked.select("grp", "seg"), ["grp", "seg"]).join(whole, "grp").join(ends, ["grp", "unit"], "left").repartition(min(4 * n, tasks), "grp", "seg").groupBy("grp", "seg").applyInPandas(_rearrange(seed + turn, people, stale), schema)
         inside = F.col("pos") - F.col("first")
         place = F.coalesce(F.col("start") + F.when(F.col("turned"), F.col("len") - 1 - inside).otherwise(inside), F.col("pos"))
         new = cut(parts.join(found, ["grp", "unit"], "left").select("grp", place.alias("pos"), "contig", "size", "seg", (place != F.col("pos")).alias("_moved")))
@@ -448,7 +522,7 @@ def _rearrange(seed: int, people: int, stale: int):
         rows = rows.sort_values("unit", ignore_index=True)
         place, k = {u: i for i, u in enumerate(rows["unit"])}, len(rows)
         links = sorted((i, place[int(l[0])], *l[1:]) for i, some in enumerate(rows["links"]) if some is not None for l in some)
-        order = search(rows["size"].to_numpy(float), np.array(links), seed + int(rows["pos"].iloc[0]), people, stale) if links else np.arange(k)
+        order = search(rows["size"].to_numpy(float), np.array(links), seed + int(rows["pos"].iloc[0]), people, -(-stale * k // int(rows["n_units"].iloc[0]))) if links else np.arange(k)
         which, length = order % k, rows["len"].to_numpy()
         start, turned = np.empty(k, np.int64), np.empty(k, bool)
         start[which] = rows["pos"].iloc[0] + np.cumsum(length[which]) - length[which]

@@ -94,6 +94,19 @@ def median(df: DataFrame, value: str) -> float | None:
     return sum(mid.values()) / len(mid)
 
 
+def group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: the exact median of each group, the mean of the middle two for an even number.
+
+    Null values don't count and groups without others are left out. Rows are numbered by ranges of
+    key and value, so a group of any size is dealt to many tasks. Keys must not be null.
+    """
+    rows = row_numbers(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__num_v")), [*[F.col(k) for k in keys], F.col("__num_v")], "__num_at")
+    per = rows.groupBy(*keys).agg(F.min("__num_at").alias("__num_lo"), F.max("__num_at").alias("__num_hi"))
+    twice = F.col("__num_lo") + F.col("__num_hi")
+    mid = (F.col("__num_at") == F.floor(twice / 2)) | (F.col("__num_at") == F.ceil(twice / 2))
+    return rows.join(per, keys).filter(mid).groupBy(*keys).agg(F.avg("__num_v").alias("median"))
+
+
 def element_at_share(df: DataFrame, value: str, num: int = 1, den: int = 10) -> float | None:
     """The sorted value at place n * num div den: an element, not an interpolation."""
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"))

@@ -374,6 +374,17 @@ def q_improved_order(spark, d):
     return order.improve_order(pair_totals(spark, d), tour(spark, d)).select("grp", "pos", "contig")
 
 
+def q_leave_one_out(spark, d):
+    """What each contig adds to the score of its tour, as log10."""
+    rows = order.leave_one_out(pair_totals(spark, d), tour(spark, d))
+    return rows.select("grp", "contig", F.when(F.col("gain") > 1e-9, F.round(F.log10("gain"), 4)).otherwise(E.double(-9)).alias("log_gain"))
+
+
+def q_pruned_tour(spark, d):
+    """Tours without contigs that add far less than the others, until none does."""
+    return order.prune_tour(pair_totals(spark, d), tour(spark, d)).select("grp", "pos", "contig", F.round("log_gain", 4).alias("log_gain"))
+
+
 def q_sign_gain(spark, d):
     """Whether the searched orientations score at least as well as those of the tour, by group."""
     hists, before = _hists(spark, d), tour(spark, d)
@@ -527,6 +538,14 @@ def q_pareto_alpha(spark, d):
     return rows.groupBy("libname").agg(r6(E.pareto_alpha(F.col("d"), C.MIN_LINK_DIST)).alias("alpha"))
 
 
+def q_laws(spark, d):
+    """Densities of link lengths at the starts of the bins by five laws, as log10."""
+    x, least, most, alpha = F.col("binstart"), 2048.0, 1e8, 0.15
+    laws = {"pareto": E.pareto(x, alpha, least), "bounded": E.bounded_pareto(x, alpha, least, most), "reciprocal": E.reciprocal(x, least, most), "exponential": E.exponential(x, 1e-6), "ends": E.uniform_pareto(x, alpha, least, 1e5)}
+    rows = table(spark, d, "distribution").filter("binstart is not null")
+    return rows.select("bin", "binstart", *[F.when(v > 1e-300, r6(F.log10(v))).alias(k) for k, v in laws.items()])
+
+
 def q_tags(spark, d):
     """Typed tags of the alignments."""
     t = lambda n: tag_value(F.col("tags"), n)

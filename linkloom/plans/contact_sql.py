@@ -111,6 +111,14 @@ from l left join bs on s < l1 + l2 group by a, b, n""",
     "q_recovered": f"with {_LINKAGE}, sk as (select distinct contig from kn where contig not in (select contig from cl)), rk as (select *, row_number() over (partition by contig order by avg_weight desc, cluster) as r from av where contig in (select contig from sk)), t as (select contig, max(cluster) filter (r = 1) as cluster, max(avg_weight) filter (r = 1) as one, max(avg_weight) filter (r = 2) as two from rk group by 1) select contig, cluster from t where one >= 1.5 and (two is null or two = 0 or one >= 1.5 * two)",
     "q_allelic_label": f"with {_NAMED}, g as (select distinct ctg, groupid from ctg_groups where ctg is not null and groupid is not null) select pair_id, case when exists (select 1 from g x join g y using (groupid) where x.ctg = contig1 and y.ctg = contig2) then 'allelic' else 'ok' end as label from np",
     "q_best_per_group": f"with {_TOTAL}, g as (select distinct ctg, groupid from ctg_groups where ctg is not null and groupid is not null), e2 as (select a as contig, b as ctg, n from pt union all select b, a, n from pt) select contig, groupid, max(n) as best from e2 join g using (ctg) group by all",
+    "q_leave_one_out": f"""with {_TOTAL}, {_LEN}{_TOUR}, al as (select x.grp, least(x.pos, y.pos) as p, greatest(x.pos, y.pos) as q, n, abs((y.cum + y.size / cast(2 as double)) - (x.cum + x.size / cast(2 as double))) as dist from pt join pl x on x.contig = a join pl y on y.contig = b and y.grp = x.grp where x.pos <> y.pos),
+ch as (select grp, unnest([p, q]) as pos, n / dist as d from al where dist <= 10000000
+union all select grp, z.pos, case when dist <= 10000000 then n / dist else 0 end - case when dist - size <= 10000000 then n / (dist - size) else 0 end from al join pl z using (grp) where z.pos > p and z.pos < q),
+su as (select grp, pos, sum(d) as gain from ch group by all)
+select grp, contig, case when gain > 1e-9 then round(log10(gain), 4) else cast(-9 as double) end as log_gain from pl left join su using (grp, pos)""",
+    "q_laws": """with t as (select bin, binstart, cast(binstart as double) as z, cast(2048 as double) as lo, cast(0.15 as double) as al, cast(100000 as double) as sp from distribution where binstart is not null),
+v as (select bin, binstart, al * pow(lo, al) / pow(z, al + 1) as pareto, al * pow(lo, al) / pow(z, al + 1) / (1 - pow(lo / cast(1e8 as double), al)) as bounded, 1 / (ln(cast(1e8 as double) / lo) * z) as reciprocal, cast(1e-6 as double) * exp(-cast(1e-6 as double) * z) as exponential, case when z < lo then 0 when z <= lo + sp then (1 - pow(lo / z, al)) / sp else (pow(lo / (z - sp), al) - pow(lo / z, al)) / sp end as ends from t)
+select bin, binstart, """ + ", ".join(f"case when {k} > 1e-300 then round(log10({k}), 6) end as {k}" for k in ("pareto", "bounded", "reciprocal", "exponential", "ends")) + " from v",
     "q_tour_score": f"with {_DIST} select grp, round(-sum(n / dist), 6) as score from ds group by 1",
     "q_tour_score_log": f"with {_DIST} select grp, round(sum(n * (ln(dist) - ln(cast(10000000 as double)))), 3) as score from ds group by 1",
     "q_orientation_score": f"""with {_CLM}, {_LEN}{_TOUR}, h0 as (select a, b, ao, bo, unnest(links) as d from k where a <> b),

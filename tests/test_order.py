@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.operators import graph, order, prune
 
@@ -181,3 +182,49 @@ def test_edges_within_a_group_do_not_enter_the_matching(spark):
     edges = spark.createDataFrame([("a", "b", 9), ("a", "c", 5), ("b", "c", 4), ("c", "d", 3)], "a string, b string, n long")
     got = {(r["a"], r["b"]): r["label"] for r in prune.prune(edges, groups).collect()}
     assert got == {("a", "b"): "allelic", ("a", "c"): "ok", ("b", "c"): "cross-allelic(a,b|c)", ("c", "d"): "ok"}
+
+
+def test_all_orders_of_few_pieces_are_tried():
+    size = np.array([5.0, 9.0, 2.0])
+    links = np.array([[0, 1, 4, 5, 1], [0, 2, 9, 0, 1], [1, 2, 1, 3, 2]], float)
+    best = order.best_of_all(size, links)
+    every = [np.array(p) + 3 * np.array(t) for p in itertools.permutations(range(3)) for t in itertools.product((0, 1), repeat=3)]
+    value = lambda x: order.segment_scores(np.array([x]), size, links)[0]
+    assert abs(value(best) - min(map(value, every))) < 1e-12
+    alone = np.array([[0, 1, 1, 2.5, 4.5]])
+    assert order.best_of_all(size[:2], alone).tolist() == [0, 1]
+
+
+def _dropped(tour, contacts, limit=10_000_000):
+    """The gain of each contig by scoring the tour again without it."""
+
+    def score(names):
+        at, cum = {}, 0
+        for c in names:
+            at[c] = cum + tour[c] / 2
+            cum += tour[c]
+        return sum(n / abs(at[a] - at[b]) for a, b, n in contacts if a in at and b in at and abs(at[a] - at[b]) <= limit)
+
+    names = list(tour)
+    return {c: score(names) - score([x for x in names if x != c]) for c in names}
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_gains_of_contigs_are_those_of_scoring_without_them(spark, block):
+    rng = np.random.default_rng(5)
+    size = {f"c{i:02}": int(rng.integers(1, 3_000_000)) for i in range(20)}
+    some = [("c%02d" % i, "c%02d" % j, int(rng.integers(1, 50))) for i, j in itertools.combinations(range(19), 2) if rng.random() < 0.4]
+    tour = spark.createDataFrame([("g", i, c, s) for i, (c, s) in enumerate(size.items())] + [("h", 0, "z", 5)], "grp string, pos long, contig string, size long")
+    contacts = spark.createDataFrame([*some, ("c01", "z", 9), ("c01", "nowhere", 9)], "a string, b string, n long").withColumn("_held", F.lit(1))
+    got = {r["contig"]: r["gain"] for r in order.leave_one_out(contacts, tour, block=block).collect()}
+    want = _dropped(size, some) | {"z": 0.0}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+
+
+def test_contigs_that_add_nothing_go_from_the_tour(spark):
+    size = {f"c{i:02}": 1000 + i for i in range(12)}
+    links = [(f"c{i:02}", f"c{j:02}", 50) for i, j in itertools.combinations(range(12), 2) if 5 not in (i, j)]
+    tour = spark.createDataFrame([("g", i, c, s) for i, (c, s) in enumerate(size.items())], "grp string, pos long, contig string, size long")
+    got = order.prune_tour(spark.createDataFrame(links, "a string, b string, n long"), tour).orderBy("pos").collect()
+    assert [(r["pos"], r["contig"]) for r in got] == list(enumerate(c for c in size if c != "c05"))
+    assert not order.prune_tour(spark.createDataFrame([], "a string, b string, n long"), tour.limit(0)).count()
