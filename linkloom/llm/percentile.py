@@ -212,6 +212,7 @@ def _schema(df: DataFrame, keys: list[str]) -> T.StructType:
 def summarise(df: DataFrame, keys: list[str], vals: str, k: int = K, buffers: int = BUFFERS, fan_in: int = FAN_IN) -> DataFrame:
     """One summary per key (rows: keys, _part, weight, err, vals) of the LONG values in the arrays `vals`.
 
+    Keys must not be named like the result's other columns; what else the table holds is ignored.
     Arrays are used as they are: give only usable values, without nulls. Null keys form groups of
     their own. Groups without values give no row; an empty table gives none. Repeated rows count
     as often as they stand.

@@ -23,7 +23,7 @@ RANGE = 1_000_000
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn("__top_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__top_rank") <= n).drop("__top_rank")
 
 
 def _first_rows(keys: list[str], n: int):
@@ -60,22 +60,23 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, share: fl
 
     `order` should be total; rows equal in it are equal in rank, and any of them may be given. Null
     keys form one group, nulls order as Spark orders them. Repeated rows each count. An empty table
-    gives no rows. Columns named _rank, _rows or _salt aren't allowed.
+    gives no rows. Columns may have any name
+    but for those that begin with __top.
     """
     rows = df.count()
     # Fewer than 1 / share rows.
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter((F.col("_rows") > rows * share) & (F.col("_rows") > n)).collect()
+    hot = df.groupBy(*keys).agg(F.count("*").alias("__top_rows")).filter((F.col("__top_rows") > rows * share) & (F.col("__top_rows") > n)).collect()
     if not hot:
         return _ranked(df, keys, order, n)
     spark = df.sparkSession
-    named = F.broadcast(spark.createDataFrame(hot, df.select(*keys, F.lit(0).cast("long").alias("_rows")).schema).select([F.col(k).alias(f"_h_{k}") for k in keys]))
+    named = F.broadcast(spark.createDataFrame(hot, df.select(*keys, F.lit(0).cast("long").alias("__top_rows")).schema).select([F.col(k).alias(f"__top_h_{k}") for k in keys]))
     same = F.lit(True)
     for k in keys:
-        same = same & df[k].eqNullSafe(named[f"_h_{k}"])
+        same = same & df[k].eqNullSafe(named[f"__top_h_{k}"])
     cold = _ranked(df.join(named, same, "left_anti"), keys, order, n)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["_rows"] for r in hot) // RANGE))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["__top_rows"] for r in hot) // RANGE))
     # The salt parts rows that are equal in order; within a range the order alone counts.
-    salted = df.join(named, same, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(ranges)))
-    ranged = salted.repartitionByRange(ranges, *keys, *order, "_salt").sortWithinPartitions(*keys, *order).drop("_salt")
+    salted = df.join(named, same, "left_semi").withColumn("__top_salt", F.pmod(F.monotonically_increasing_id(), F.lit(ranges)))
+    ranged = salted.repartitionByRange(ranges, *keys, *order, "__top_salt").sortWithinPartitions(*keys, *order).drop("__top_salt")
     few = ranged.mapInArrow(_first_rows(keys, n), df.schema)
     return cold.unionByName(_ranked(few, keys, order, n))
