@@ -88,12 +88,13 @@ def skew_aggregate(df: DataFrame, keys: list[str], partial: list[Column], final:
 
     `partial` are aggregates with names, `final` combine the partial ones by those names. Rows of
     heavy keys are aggregated by key and salt first, then by key; other rows at once by key. Null
-    keys form one group; an empty table gives no rows; extra columns are ignored.
+    keys form one group; an empty table gives no rows; extra columns are ignored. Own columns begin
+    with __heavy.
     """
     hot, cold = split(df, keys, heavy)
     # The salt is the row's place, not its content, so equal rows spread too; sums don't depend on it.
-    salted = hot.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    hot_done = salted.groupBy(*keys, "_salt").agg(*partial).groupBy(*keys).agg(*final)
+    salted = hot.withColumn("__heavy_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    hot_done = salted.groupBy(*keys, "__heavy_salt").agg(*partial).groupBy(*keys).agg(*final)
     cold_done = cold.groupBy(*keys).agg(*partial).groupBy(*keys).agg(*final)
     return hot_done.unionByName(cold_done)
 
@@ -112,7 +113,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFra
     if few:
         hot_done = hot.join(F.broadcast(right_hot), keys, how)
     else:
-        salted = hot.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-        spread = right_hot.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-        hot_done = salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+        salted = hot.withColumn("__heavy_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        spread = right_hot.withColumn("__heavy_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
+        hot_done = salted.join(spread, [*keys, "__heavy_salt"], how).drop("__heavy_salt")
     return hot_done.unionByName(cold.join(right_cold, keys, how))

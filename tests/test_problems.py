@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from linkloom.operators import heavy, intervals, rejects
+from linkloom.operators import heavy, intervals, ordered, rejects
 
 GOOD = "q1\t100\t0\t50\t+\tt1\t200\t10\t60\t40\t50\t60"
 
@@ -64,3 +64,32 @@ def test_heavy_keys_and_sums(spark):
     side = spark.createDataFrame([("hot", 1), ("hot", 2), ("k5", 3), (None, 4)], "k string, w long")
     joined = heavy.skew_join(df, side, ["k"], hot).select("k", "v", "w").collect()
     assert sorted(map(str, joined)) == sorted(map(str, df.join(side, "k").select("k", "v", "w").collect()))
+
+
+def test_keys_with_salts_of_their_own(spark, monkeypatch):
+    rows = [("hot", i, i % 5) for i in range(600)] + [(None, 1, 2)] * 200 + [(f"k{i}", i, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, v long, _salt int")
+    hot = heavy.known(heavy.heavy_keys(df, ["k"]))
+    got = heavy.skew_aggregate(df, ["k"], [F.sum("_salt").alias("s")], [F.sum("s").alias("s")], hot)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.groupBy("k").agg(F.sum("_salt")).collect()}
+    side = spark.createDataFrame([("hot", 1), ("hot", 2), ("k5", 3), (None, 4)], "k string, w long")
+    for few in (heavy.BROADCAST_ROWS, 0):  # 0: heavy rows are repeated for each salt
+        monkeypatch.setattr(heavy, "BROADCAST_ROWS", few)
+        joined = heavy.skew_join(df, side, ["k"], hot)
+        assert joined.columns == ["k", "v", "_salt", "w"]
+        assert sorted(map(str, joined.collect())) == sorted(map(str, df.join(side, "k").select(joined.columns).collect()))
+    assert not heavy.skew_aggregate(df.limit(0), ["k"], [F.sum("v").alias("s")], [F.sum("s").alias("s")], hot).count()
+
+
+def test_long_lines_repeat_and_names_clash(spark):
+    long = GOOD + "\tzz:Z:" + "x" * 3_000_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, ""), (3, "a\t" * 500_000)], "bad_reason long, rec string").withColumn("line", F.lit(0))
+    got = rejects.parse_lines(df.withColumnRenamed("bad_reason", "line_id"), F.col("rec"), ["line_id"]).select("line_id", "bad_reason").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, None), (1, None), (2, "columns"), (3, "number")]))
+
+
+def test_medians_of_groups(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 1.0), ("a", 9.0), ("b", 5.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("median", F.lit("clash"))
+    assert {tuple(r) for r in ordered.group_medians(df, ["g"], "v").collect()} == {("a", 2.0), ("b", 5.0)}
+    assert not ordered.group_medians(df.limit(0), ["g"], "v").count()
