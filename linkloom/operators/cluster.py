@@ -3,12 +3,14 @@
 Average linkage is reducible: two clusters that are each other's best stay so until they merge. So
 all such pairs merge at once in a round, and the merges sorted by score are those of the greedy
 order. Contigs that no links connect never merge, so connected parts go apart: those of bounded size
-in a task each, larger ones by rounds of joins. The wanted number of groups is then reached by
+within a task, larger ones by rounds of joins until a task holds what is left. The wanted number of groups is then reached by
 cutting the sorted merges.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from .ordered import prefix_sum, row_numbers
 
 #: Pairs of a connected part that one task holds.
 HELD = 500_000
+#: Share of the pairs that a round of joins has to do away with; else tasks go on.
+LEAST_LOSS = 0.02
 MERGES = "a string, b string, score double, size_a long, size_b long, round int"
 
 
@@ -55,63 +59,132 @@ def skipped(contigs: DataFrame, factors: DataFrame, min_sites: int = C.MIN_RES,
     return rows.select("contig", reason.alias("reason")).filter("reason is not null")
 
 
-def merges(edges: DataFrame, max_rounds: int = 1000, held: int = HELD) -> DataFrame:
+def merges(edges: DataFrame, max_rounds: int | None = None, held: int = HELD) -> DataFrame:
     """a, b, score, size_a, size_b, round: all merges of average linkage down to no positive score.
 
     Clusters are named by their least member. Ties of score go to the bytewise smaller pair of names.
-    Pairs that are left after `max_rounds` are an error.
+    A merge has a later round than those it is made of. There are as many rounds as it takes, which a
+    hub makes as many as it has neighbours; pairs that are left after `max_rounds`, if given, are an
+    error.
     """
     rows = cut(edges.filter("a <> b and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("w")))
+    # One row a pair of clusters: sum of weights; sizes come along.
+    one, n = F.lit(1).cast("long"), rows.count()
+    rows = rows.select(F.lit("").alias("part"), "a", "b", "w", one.alias("sa"), one.alias("sb"))
+    if n <= held:
+        return cut(_merges_in_tasks(rows, n, max_rounds))
     part = connected_components(rows, F.col("a"), F.col("b")).toDF("a", "part")
-    rows = cut(rows.join(part, "a"))
+    rows = cut(rows.drop("part").join(part, "a"))
     # Parts of more than `held` pairs are few.
     large = [r[0] for r in rows.groupBy("part").agg(F.count("*").alias("_n")).filter(F.col("_n") > held).select("part").collect()]
     is_large = F.col("part").isin(large) if large else F.lit(False)
-    out = rows.filter(~is_large).groupBy("part").applyInPandas(_part_merges(max_rounds), MERGES)
-    return out.unionByName(_merges_by_joins(rows.filter(is_large).drop("part"), max_rounds)) if large else out
+    out = _merges_in_tasks(rows.filter(~is_large), n, max_rounds)
+    return cut(out.unionByName(_merges_by_joins(rows.filter(is_large), max_rounds, held)) if large else out)
+
 
+def _merges_in_tasks(rows: DataFrame, n: int, max_rounds: int | None, first: int = 0) -> DataFrame:
+    """The merges of n pairs at most, whole parts dealt to as many tasks as they fill."""
+    k = 1 + 8 * n // HELD
+    dealt = rows.withColumn("_task", F.pmod(F.xxhash64("part"), F.lit(k))).repartition(k, "_task")
+    return dealt.groupBy("_task").applyInPandas(_part_merges(max_rounds, first), MERGES)
 
-def _part_merges(max_rounds: int):
-    """The rounds of `merges` within a part: the same rule, on arrays."""
+
+def _part_merges(max_rounds: int | None, first: int = 0):
+    """All merges within some parts: from cluster to best neighbour until two are each other's best, which merge.
+
+    A heap of each cluster has its neighbours by weight over their size, as its own size is common to
+    all. A neighbour that grows gets worse, so its entry is put right when it comes to the top. A
+    merge takes as long as the side with fewer neighbours has neighbours, so a hub that takes one
+    neighbour after the other doesn't go over all that are left each time.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names, at = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)], return_inverse=True)
-        (a, b), w, size, out = at.reshape(2, -1), rows["w"].to_numpy(), np.ones(len(names), np.int64), []
-        for r in range(max_rounds):
-            if not len(a):
-                break
-            score = w / size[a] / size[b]
-            order = np.lexsort((b, a, -score))
-            a, b, w, score = a[order], b[order], w[order], score[order]
-            # The first row in this order that each cluster stands in is its best.
-            ends, place = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))]
-            best = np.full(len(names), len(a))
-            np.minimum.at(best, ends, place)
-            both = np.flatnonzero((best[a] == np.arange(len(a))) & (best[b] == np.arange(len(a))))
-            x, y = a[both], b[both]
-            out.append(pd.DataFrame({"a": names[x], "b": names[y], "score": score[both], "size_a": size[x], "size_b": size[y], "round": r}))
-            size[x] += size[y]
-            to = np.arange(len(names))
-            to[y] = x
-            a, b = to[a], to[b]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            code, which = np.unique(a[a != b] * len(names) + b[a != b], return_inverse=True)
-            w, a, b = np.bincount(which, w[a != b], len(code)), code // len(names), code % len(names)
-        else:
-            raise RuntimeError(f"pairs remain after {max_rounds} rounds")
-        return pd.concat(out)
+        n, sizes = len(names), np.ones(len(names), np.int64)
+        sizes[at] = np.r_[rows["sa"], rows["sb"]]
+        # A cluster keeps the number of the side with more neighbours; `least` is its name's, `turn` the round from which it is there.
+        size, least, turn = sizes.tolist(), list(range(n)), [first] * n
+        # Weight of each neighbour, and the key of its entry in the heap that counts.
+        near: list[dict[int, tuple[float, float]] | None] = [{} for _ in range(n)]
+        heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(n)]
+
+        def link(x: int, y: int, w: float) -> None:
+            key = -w / size[y]
+            near[x][y] = (w, key)
+            heapq.heappush(heaps[x], (key, least[y], y))
+
+        for i, j, w in zip(*at.reshape(2, -1).tolist(), rows["w"].tolist(), strict=True):
+            link(i, j, w)
+            link(j, i, w)
+
+        def best(x: int) -> int:
+            h, some = heaps[x], near[x]
+            while h:
+                key, _, y = h[0]
+                if y not in some or some[y][1] != key:
+                    heapq.heappop(h)
+                    continue
+                now = -some[y][0] / size[y]
+                if now == key:
+                    return y
+                some[y] = (some[y][0], now)
+                heapq.heapreplace(h, (now, least[y], y))
+            return -1
+
+        out: list[tuple] = []
+        inside = [False] * n
+        for start in range(n):
+            chain = [start] if near[start] else []
+            while chain:
+                x = chain[-1]
+                inside[x] = True
+                y = best(x)
+                if y < 0:
+                    break
+                # Scores only rise along the chain; what rounding makes a circle are ties.
+                if not inside[y]:
+                    chain.append(y)
+                    continue
+                y = chain[-2]
+                del chain[-2:]
+                inside[x] = inside[y] = False
+                a, b = (x, y) if least[x] < least[y] else (y, x)
+                w, r = near[x][y][0], max(turn[x], turn[y])
+                if max_rounds is not None and r >= max_rounds:
+                    raise RuntimeError(f"pairs remain after {max_rounds} rounds")
+                out.append((names[least[a]], names[least[b]], w / (size[a] * size[b]), size[a], size[b], r))
+                p, q = (x, y) if len(near[x]) >= len(near[y]) else (y, x)
+                size[p], least[p], turn[p] = size[p] + size[q], least[a], r + 1
+                gone, near[q], heaps[q] = near[q], None, []
+                del near[p][q], gone[p]
+                for z, (v, _) in gone.items():
+                    del near[z][q]
+                    v += near[p][z][0] if z in near[p] else 0
+                    link(p, z, v)
+                    link(z, p, v)
+                if not chain:
+                    chain.append(p)
+        return pd.DataFrame(out, columns=["a", "b", "score", "size_a", "size_b", "round"])
 
     return run
 
 
-def _merges_by_joins(rows: DataFrame, max_rounds: int) -> DataFrame:
-    # One row a pair of clusters: sum of weights; sizes come along.
-    now = cut(rows.select("a", "b", "w").withColumn("sa", F.lit(1).cast("long")).withColumn("sb", F.lit(1).cast("long")))
-    out = rows.sparkSession.createDataFrame([], MERGES)
-    for r in range(max_rounds):
-        if not now.limit(1).count():
+def _merges_by_joins(now: DataFrame, max_rounds: int | None, held: int) -> DataFrame:
+    """Rounds in which all pairs merge that are each other's best, until a task holds what is left of a part.
+
+    Where a round leaves nearly all pairs, hubs take one neighbour after the other and would go on for
+    as many rounds; then too a task takes what is left of a part, with memory in proportion to it.
+    """
+    out, r, before = now.sparkSession.createDataFrame([], MERGES), 0, None
+    while True:
+        n, most = now.groupBy("part").agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.max("_n")).first()
+        if not n:
             return out
-        score = F.col("w") / F.col("sa") / F.col("sb")
+        if max_rounds is not None and r >= max_rounds:
+            raise RuntimeError(f"pairs remain after {max_rounds} rounds")
+        if before and (most <= held or n > before * (1 - LEAST_LOSS)):
+            return out.unionByName(_merges_in_tasks(now, n, max_rounds, r))
+        score = F.col("w") / (F.col("sa") * F.col("sb"))
         key = F.struct((-score).alias("s"), F.col("a").alias("p"), F.col("b").alias("q"))
         ends = now.select(F.col("a").alias("v"), key.alias("k")).unionByName(now.select(F.col("b").alias("v"), key.alias("k")))
         best = ends.groupBy("v").agg(F.min("k").alias("k"))
@@ -122,19 +195,17 @@ def _merges_by_joins(rows: DataFrame, max_rounds: int) -> DataFrame:
         # Both members take the lesser name and the joint size.
         to = step.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("to"), (F.col("size_a") + F.col("size_b")).alias("size")), F.struct(F.col("b").alias("v"), F.col("a").alias("to"), (F.col("size_a") + F.col("size_b")).alias("size")))))
         left = now.join(to.withColumnsRenamed({"v": "a", "to": "ta", "size": "za"}), "a", "left").join(to.withColumnsRenamed({"v": "b", "to": "tb", "size": "zb"}), "b", "left")
-        named = left.select(F.coalesce("ta", "a").alias("x"), F.coalesce("za", "sa").alias("sx"), F.coalesce("tb", "b").alias("y"), F.coalesce("zb", "sb").alias("sy"), "w").filter("x <> y")
+        named = left.select("part", F.coalesce("ta", "a").alias("x"), F.coalesce("za", "sa").alias("sx"), F.coalesce("tb", "b").alias("y"), F.coalesce("zb", "sb").alias("sy"), "w").filter("x <> y")
         turn = F.col("x") > F.col("y")
         pick = lambda p, q: F.when(turn, F.col(q)).otherwise(F.col(p))  # noqa: B023, E731
-        now = cut(named.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("sx", "sy").alias("sa"), pick("sy", "sx").alias("sb"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("sa").alias("sa"), F.max("sb").alias("sb")))
-    if now.limit(1).count():
-        raise RuntimeError(f"pairs remain after {max_rounds} rounds")
-    return out
+        now = cut(named.select("part", pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("sx", "sy").alias("sa"), pick("sy", "sx").alias("sb"), "w").groupBy("part", "a", "b").agg(F.sum("w").alias("w"), F.max("sa").alias("sa"), F.max("sb").alias("sb")))
+        r, before = r + 1, n
 
 
 def cut_merges(steps: DataFrame, n_contigs: int, k: int) -> DataFrame:
     """The merges that are made before there are `k` clusters of two or more, past half of the contigs."""
-    # Scores fall with the greedy order; a merge never scores above those it is made of.
-    few = row_numbers(steps, [F.desc("score"), F.asc("round"), F.asc("a"), F.asc("b")], "_n")
+    # Scores fall with the greedy order, and names rise within a score; a merge never stands before those it is made of.
+    few = row_numbers(steps, [F.desc("score"), F.asc("a"), F.asc("b")], "_n")
     gain = (F.col("size_a") == 1).cast("int") + (F.col("size_b") == 1).cast("int") - 1
     run = prefix_sum(few, [], "_n", gain, "_before").withColumn("_k", F.col("_before") + gain)
     stop = run.filter((F.col("_n") > n_contigs // 2) & (F.col("_k") == k)).agg(F.min("_n").alias("_stop"))
@@ -144,7 +215,26 @@ def cut_merges(steps: DataFrame, n_contigs: int, k: int) -> DataFrame:
 def members(steps: DataFrame) -> DataFrame:
     """contig, cluster (its least member) after some merges; contigs without a merge have no row."""
     # A cluster has its least member's name, so merges link those members: what they connect is a cluster.
-    return connected_components(steps, F.col("a"), F.col("b")).toDF("contig", "cluster")
+    steps = cut(steps.select("a", "b"))
+    if steps.count() > HELD:
+        return connected_components(steps, F.col("a"), F.col("b")).toDF("contig", "cluster")
+    return steps.groupBy(F.lit(0).alias("_task")).applyInPandas(_joined, "contig string, cluster string")
+
+
+def _joined(steps: pd.DataFrame) -> pd.DataFrame:
+    """What the merges connect, by the least name."""
+    names, at = np.unique(np.r_[steps["a"].to_numpy(str), steps["b"].to_numpy(str)], return_inverse=True)
+    to = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while to[x] != x:
+            to[x] = x = to[to[x]]
+        return x
+
+    for a, b in zip(*at.reshape(2, -1).tolist(), strict=True):
+        a, b = root(a), root(b)
+        to[max(a, b)] = min(a, b)
+    return pd.DataFrame({"contig": names, "cluster": names[[root(x) for x in range(len(names))]]})
 
 
 def cluster(edges: DataFrame, n_contigs: int, k: int) -> DataFrame:

@@ -93,3 +93,28 @@ def test_a_star_is_one_group_without_a_long_task(spark, monkeypatch):
     chain = spark.range(50).select(F.concat(F.lit("z"), F.col("id")).alias("a"), F.concat(F.lit("z"), F.col("id") + 1).alias("b"))
     got = components.connected_components(star.unionByName(chain), F.col("a"), F.col("b"))
     assert sorted(map(tuple, got.groupBy("groupname").count().collect())) == [("hub", n + 1), ("z0", 51)]
+
+
+@pytest.mark.parametrize("held", [0, 1500, cluster.HELD])
+def test_a_hub_takes_as_many_rounds_as_it_has_neighbours(spark, held):
+    """Leaves that merge with their hub one after the other, more than 1,000 of them; beside them a part of its own."""
+    n = 1200
+    star = [("hub", f"x{i:04}", 10**9 - i * i) for i in range(n)] + [("x0005", "x0007", 1)]
+    part = [(f"z{i:03}", f"z{i + 1:03}", 1 + i * 7919 % 997) for i in range(500)]
+    steps = cluster.merges(spark.createDataFrame(star + part, "a string, b string, weight long"), held=held)
+    rows = {r["b"]: r for r in steps.filter("a = 'hub'").collect()}
+    assert len(rows) == n and steps.count() == n + 500
+    for i in range(n):
+        r = rows[f"x{i:04}"]
+        assert (r["size_a"], r["size_b"]) == (i + 1, 1)
+        assert r["score"] == pytest.approx((10**9 - i * i + (i == 7)) / (i + 1), rel=1e-12)
+    assert cluster.members(steps).groupBy("cluster").count().orderBy("cluster").collect() == [("hub", n + 1), ("z000", 501)]
+
+
+def test_ties_go_by_name_in_tasks_and_joins_alike(spark):
+    rng = random.Random(8)
+    rows = [(f"c{i:02}", f"c{j:02}", rng.randrange(1, 4)) for i, j in itertools.combinations(range(40), 2) if rng.random() < 0.2]
+    df = spark.createDataFrame(rows, "a string, b string, weight long")
+    cols = ["a", "b", "score", "size_a", "size_b"]
+    one, two = (sorted(map(tuple, cluster.merges(df, held=h).select(cols).collect())) for h in (0, cluster.HELD))
+    assert one == two and len(one) == 39
