@@ -228,3 +228,28 @@ def test_contigs_that_add_nothing_go_from_the_tour(spark):
     got = order.prune_tour(spark.createDataFrame(links, "a string, b string, n long"), tour).orderBy("pos").collect()
     assert [(r["pos"], r["contig"]) for r in got] == list(enumerate(c for c in size if c != "c05"))
     assert not order.prune_tour(spark.createDataFrame([], "a string, b string, n long"), tour.limit(0)).count()
+
+
+def test_contigs_linked_from_far_away_are_chained():
+    rng = np.random.default_rng(6)
+    k = 3000
+    at = rng.permutation(k)
+    links = np.c_[at[:1999], at[1:2000], np.full(1999, 7)]
+    got = order.chained(np.full(k, 1000), links).tolist()
+    assert got[:2000] in (at[:2000].tolist(), at[:2000][::-1].tolist()) and got[2000:] == sorted(at[2000:])
+    hub = np.array([[5, i, 1 + i] for i in range(40) if i != 5])
+    assert sorted(order.chained(np.full(41, 9), hub)) == list(range(41))
+    assert order.chained(np.full(3, 9), np.zeros((0, 3))).tolist() == [0, 1, 2]
+
+
+def test_contigs_far_from_those_they_are_linked_to_come_together(spark):
+    """A chain in mixed order, many segments long, beside a group without links: the order is found whole."""
+    rng = random.Random(9)
+    names = [f"c{i:03}" for i in range(120)]
+    mixed = rng.sample(names, len(names))
+    tour = spark.createDataFrame([("g", p, c, 1000) for p, c in enumerate(mixed)] + [("h", p, f"h{p}", 10) for p in range(3)], "grp string, pos long, contig string, size long")
+    contacts = spark.createDataFrame([(a, b, 100) for a, b in itertools.pairwise(names)], "a string, b string, n long")
+    rows = order.improve_order(contacts, tour, segment=16, people=10, stale=10).orderBy("grp", "pos").collect()
+    got = [r["contig"] for r in rows if r["grp"] == "g"]
+    assert got in (names, names[::-1])
+    assert [(r["pos"], r["contig"]) for r in rows if r["grp"] == "h"] == [(p, f"h{p}") for p in range(3)]
